@@ -225,8 +225,9 @@ class Codec:
             needed: set = set()
             for words in made.values():
                 needed.update(words)
-            self.words.young.update(self.learn([w for w in self.words.missing(needed) if w.__class__ is str]))
-            word = self.words.young
+            learnt = self.learn([w for w in self.words.missing(needed) if w.__class__ is str])
+            word = self.words.young  # which ``missing`` may have replaced
+            word.update(learnt)
             for c, words in made.items():
                 rows = [word[w] if w.__class__ is str else self.special(w) for w in words]
                 self.chunks.young[c] = (b"".join([r[0] for r in rows]), b" ".join([r[1] for r in rows]))
