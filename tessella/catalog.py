@@ -378,11 +378,11 @@ def four(df: DataFrame) -> DataFrame:
 
 for _op, _extra in (("ATTR_PC_SCORE", {}), ("ATTR_FACTOR_SCORE", {}), ("ATTR_SEM_SCORE", {"latent": "g", "model": "g =~ f1 + f2 + f3"})):
     derived(_op, "attributes", "lineitem", None, {"members": FOUR, **_extra}, LK, "", derive=four)
-add("agg_vectors", lambda spark, d: rounded(process(table(spark, d, "embeddings"), {
-    "groups": [{"type": "GROUP_CATEGORY", "field": "label"}],
-    "aggregations": [{"type": f"AGG_VEC_{k}", "field": "embedding", "label": k.lower(), "params": {"dim": 4}} for k in ("MEAN", "SUM", "SD")],
-}).rows.select("label", *(F.get(c, F.lit(i)).alias(f"{c}{i}") for c in ("mean", "sum", "sd") for i in range(4)))),
-    "SELECT CAST(label AS VARCHAR) AS label, " + ", ".join(f"round({f}(CAST(embedding[{i + 1}] AS DOUBLE)), 4) AS {n}{i}" for n, f in (("mean", "avg"), ("sum", "sum"), ("sd", "stddev_samp")) for i in range(4)) + " FROM embeddings GROUP BY ALL")
+for _k, _f in (("MEAN", "avg"), ("SUM", "sum"), ("SD", "stddev_samp")):
+    add(f"agg_vec_{_k.lower()}", lambda spark, d, k=_k: rounded(process(table(spark, d, "embeddings"), {
+        "groups": [{"type": "GROUP_CATEGORY", "field": "label"}], "aggregations": [{"type": f"AGG_VEC_{k}", "field": "embedding", "label": "v", "params": {"dim": 4}}],
+    }).rows.select("label", *(F.get("v", F.lit(i)).alias(f"v{i}") for i in range(4)))),
+        "SELECT CAST(label AS VARCHAR) AS label, " + ", ".join(f"round({_f}(CAST(embedding[{i + 1}] AS DOUBLE)), 4) AS v{i}" for i in range(4)) + " FROM embeddings GROUP BY ALL")
 
 # ---- crosstabs, facets, joins, unions
 
