@@ -544,7 +544,7 @@ matrix("MAT_PARTIAL_CORRELATION", {"members": _m3}, " UNION ALL ".join(
     f"SELECT '{a}' AS row_key, '{b}' AS col_key, {_part.format(x=x, y=y, z=z) if a != b else '1.0'} AS value FROM {_abc}"
     for a, b, x, y, z in [(Q, P, "ab", "ac", "bc"), (P, Q, "ab", "ac", "bc"), (Q, D, "ac", "ab", "bc"), (D, Q, "ac", "ab", "bc"), (P, D, "bc", "ab", "ac"), (D, P, "bc", "ab", "ac"), (Q, Q, "", "", ""), (P, P, "", "", ""), (D, D, "", "", "")]
 ))
-matrix("MAT_PCA", {"members": [Q, P], "components": 1}, f"""SELECT k AS row_key, '1' AS col_key, round(sqrt((1 + abs(corr({Q}, {P}))) / 2), 4) AS value FROM lineitem, (SELECT unnest(['{Q}', '{P}']) AS k) GROUP BY k""")
+matrix("MAT_PCA", {"members": [Q, P], "components": 1}, f"""SELECT k AS row_key, '1' AS col_key, round(sqrt((1 + abs(corr({Q}, {P}))) / 2) * CASE k WHEN '{Q}' THEN 1 ELSE sign(corr({Q}, {P})) END, 4) AS value FROM lineitem, (SELECT unnest(['{Q}', '{P}']) AS k) GROUP BY k""")
 matrix("MAT_FACTOR", {"members": FOUR, "factors": 1}, derive=four)
 matrix("MAT_RELIABILITY", {"members": FOUR}, derive=four)
 matrix("MAT_COLLINEARITY", {"members": [Q, P, D]}, part="vif")

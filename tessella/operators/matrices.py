@@ -127,11 +127,12 @@ def partial_correlation(df: DataFrame, slot: Slot) -> dict:
 
 
 def principal(cov: np.ndarray, on: str = "correlation") -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues from the largest on, and eigenvectors whose elements add up to no less than zero."""
+    """Eigenvalues from the largest on, and eigenvectors whose largest element (the first of equal ones) is positive."""
     values, vectors = np.linalg.eigh(correlation_of(cov) if on == "correlation" else cov)
     values, vectors = values[::-1], vectors[:, ::-1]
-    signs = np.where(vectors.sum(0) < 0, -1.0, 1.0)
-    return values, vectors * signs
+    size = np.abs(vectors)
+    first = (size > size.max(0) - 1e-9).argmax(0)
+    return values, vectors * np.where(vectors[first, np.arange(len(values))] < 0, -1.0, 1.0)
 
 
 @MATRICES.add("MAT_PCA")
