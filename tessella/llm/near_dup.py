@@ -8,6 +8,8 @@ full shingle sets.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -18,11 +20,13 @@ from tessella.llm.common import components, map_arrow, space_words, written
 
 SHINGLE = 5
 #: Coordinates of a signature: so many bands of so many rows. At a similarity of 0.75 a pair meets in no band with
-#: a chance of (1 - 0.75 ** 3) ** 30, about 6e-8.
-BANDS, ROWS = 30, 3
-#: Rounds in which one document of each unresolved bucket is compared with the rest of it, before all pairs of
-#: a bucket that are still in different components are.
-PIVOT_ROUNDS = 3
+#: a chance of (1 - 0.75 ** 4) ** 30, about 1e-5.
+BANDS, ROWS = 30, 4
+#: Coordinates of a sketch, four bits each, and standard deviations beyond the expected number of differences at
+#: the threshold from which a pair isn't compared in full (a chance of about 3e-6).
+SKETCH, SPREAD = 1024, 4.5
+#: Documents of a block: the open documents of a bucket are compared block by block.
+BLOCK = 512
 _CHUNK = 40_000
 
 
@@ -68,9 +72,9 @@ def shingle_hashes(words: list[bytes]) -> np.ndarray:
     return np.unique(h)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Circulant MinHash signatures of non-empty shingle sets, BANDS * ROWS coordinates each."""
-    out = np.empty((len(sets), BANDS * ROWS), np.uint32)
+def signatures(sets: list[np.ndarray], width: int = BANDS * ROWS) -> np.ndarray:
+    """Circulant MinHash signatures of non-empty shingle sets, so many coordinates each."""
+    out = np.empty((len(sets), width), np.uint32)
     at = 0
     while at < len(sets):
         end, size = at, 0
@@ -95,6 +99,78 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _sketched(texts: DataFrame) -> DataFrame:
+    """doc and sketch: the lowest four bits of each of SKETCH coordinates, sixteen in a long."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = signatures([shingle_hashes(space_words(b)) for b in batch.column(1).to_pylist()], SKETCH)
+        nibbles = (found & np.uint32(15)).astype(np.uint64).reshape(len(found), SKETCH // 16, 16)
+        packed = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
+        return {"doc": batch.column(0), "sketch": list(packed)}
+
+    return map_arrow(texts.select("doc", F.col("text").cast("binary")), run, "doc bigint, sketch array<bigint>")
+
+
+def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one bucket, of different components and like size, whose sketches leave a link possible.
+
+    ``rows``: bucket, doc, n, component, sketch, buckets (all open buckets of the document, sorted). The members of a
+    bucket are dealt into blocks, and every pair of blocks is a small dense comparison of its own, so no task holds a
+    large bucket. A pair that shares several buckets is given once, by the lowest of them."""
+    chance = (1 - percent / 100) * 15 / 16
+    most = int(SKETCH * chance + SPREAD * (SKETCH * chance * (1 - chance)) ** 0.5) + 1
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    dealt = rows.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select(
+        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc", "n", "component", "sketch", "buckets"
+    )
+    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+
+    def compare(group: list[tuple]) -> list[tuple[int, int]]:
+        _, low, high = group[0][:3]
+        left = [r for r in group if r[3] == low]
+        right = left if low == high else [r for r in group if r[3] == high]
+        if not left or not right or len(group) < 2:
+            return []
+        side = lambda part: (np.array([r[4] for r in part]), np.array([r[5] for r in part]), np.array([r[6] for r in part]), np.array([r[7] for r in part], np.int64).view(np.uint64))
+        (da, na, ca, sa), (db, nb, cb, sb) = side(left), side(right)
+        out = []
+        for k in range(len(left)):
+            able = (cb != ca[k]) & (100 * np.minimum(nb, na[k]) >= percent * np.maximum(nb, na[k]))
+            able &= (db > da[k]) if low == high else (db != da[k])
+            at = np.flatnonzero(able)
+            if len(at):
+                x = sb[at] ^ sa[k]
+                x |= x >> np.uint64(1)
+                x |= x >> np.uint64(2)
+                differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1)
+                for j in at[differ <= most].tolist():
+                    shared = set(left[k][8]).intersection(right[j][8])
+                    if min(shared) == group[0][0]:
+                        out.append((int(min(da[k], db[j])), int(max(da[k], db[j]))))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            found = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:3] != held[0][:3]:
+                    found += compare(held)
+                    held = []
+                held.append(row)
+            yield _pairs(found)
+        if held:
+            yield _pairs(compare(held))
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def _signed(docs: DataFrame) -> DataFrame:
     """doc, n_shingles, content (128-bit hash of the word sequence; null without words), bands."""
 
@@ -154,7 +230,9 @@ def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     Copies (one word sequence) count once, by their smallest id. Among the rest, candidates are those that share a
     bucket; a bucket is resolved when all its members are in one component or all pairs of members from different
     components were compared. It is first compared with one member, the one that shares most buckets with
-    others, which resolves groups of copies in one round of linear size.
+    others, which resolves groups of copies in one round of linear size. What stays apart is compared pair by pair:
+    first by longer sketches (circulant MinHash again, over the open documents only), then, where these leave a link
+    possible, by full sets.
     """
     one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(docs) else docs.where("doc_id is not null")
     texts = one.select(F.col("doc_id").cast("bigint").alias("doc"), "text")
@@ -172,41 +250,32 @@ def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     candidate_texts = written(texts.join(wanted, "doc"), "texts")
 
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  a link needs sets of like size
-    pair = F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
-    links = checked = labels = left_out = None
-    labelled, rounds = members.withColumn("component", F.col("doc")), 0
-    while rounds <= PIVOT_ROUNDS:
-        ends = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        rows = written(labelled.join(ends.where("low <> high").select("bucket"), "bucket"), "open")
-        if rows.isEmpty():
-            break
-        if rounds < PIVOT_ROUNDS:
-            # Each round another pivot: the member that ranks highest outside the last pivot's component.
-            able = rows if left_out is None else rows.join(left_out, ["bucket", "component"], "left_anti")
-            pivots = able.groupBy("bucket").agg(F.max(F.struct("rank", "doc", "n", "component")).alias("p"))
-            pivots = written(pivots.select("bucket", F.col("p.doc").alias("a"), F.col("p.n").alias("a_n"), F.col("p.component").alias("a_component")), "pivots")
-            pairs = rows.join(pivots, "bucket").where((F.col("component") != F.col("a_component")) & near(F.col("n"), F.col("a_n")))
-            pairs = pairs.select("a", F.col("doc").alias("b"))
-        else:
-            x, y = (rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("doc", "n", "component"))) for s in "ab")
-            pairs = x.join(y, "bucket").where("doc_a < doc_b and component_a <> component_b")
-            pairs = pairs.where(near(F.col("n_a"), F.col("n_b"))).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
-        pairs = pairs.distinct()
-        if checked is not None:
-            pairs = pairs.withColumns({"low": pair[0], "high": pair[1]}).join(checked, ["low", "high"], "left_anti").select("a", "b")
-        done = written(_confirmed(pairs, candidate_texts), "confirmed")
-        found = done.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b")
-        links = found if links is None else links.unionByName(found)
-        checked = done.select(*pair) if checked is None else checked.unionByName(done.select(*pair))
-        labels = written(components(links), "components").withColumnRenamed("node", "doc")
-        labelled = members.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        labelled = written(labelled, "labelled")
-        if rounds < PIVOT_ROUNDS:
-            of_pivot = labels.withColumnRenamed("doc", "a")
-            left_out = pivots.join(of_pivot, "a", "left").select("bucket", F.coalesce("component", "a").alias("component"))
-        rounds += 1
-    none = reps.select(F.col("rep").alias("doc"), F.col("rep").alias("component")).where("false")
-    of_rep = reps.join((none if labels is None else labels).withColumnRenamed("doc", "rep"), "rep", "left")
+    def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        done = written(_confirmed(pairs.distinct(), candidate_texts), "confirmed")
+        return done.select("a", "b"), done.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return written(components(links), "components").withColumnRenamed("node", "doc")
+
+    # One document of each bucket with all others of it.
+    pivots = members.groupBy("bucket").agg(F.max(F.struct("rank", "doc", "n")).alias("p"))
+    pivots = pivots.select("bucket", F.col("p.doc").alias("a"), F.col("p.n").alias("a_n"))
+    stars = members.join(pivots, "bucket").where((F.col("doc") != F.col("a")) & near(F.col("n"), F.col("a_n")))
+    checked, links = confirmed(stars.select("a", F.col("doc").alias("b")))
+    labels = labelled(links)
+    # What is in different components of a bucket still.
+    now = members.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    ends = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    rows = written(now.join(ends.where("least <> most").select("bucket"), "bucket"), "open")
+    if not rows.isEmpty():
+        own = rows.groupBy("doc").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+        sketches = written(_sketched(candidate_texts.join(own.select("doc"), "doc")), "sketches")
+        rows = rows.join(own, "doc").join(sketches, "doc")
+        pairs = _open_pairs(rows.select("bucket", "doc", "n", "component", "sketch", "buckets"), percent)
+        seen = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        _, more = confirmed(pairs.join(seen, ["a", "b"], "left_anti"))
+        labels = labelled(links.unionByName(more))
+    of_rep = reps.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
     of_rep = of_rep.select("content", F.coalesce("component", "rep").alias("component"))
     result = signed.select("doc", "n_shingles", "content").join(of_rep, "content", "left")
     component = F.coalesce("component", "doc")
