@@ -197,9 +197,11 @@ def _signed(docs: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, shared, total) with sizes of intersection and union of the full sets of 5-word shingles.
 
-    Both joins bring texts to pairs; a text that stands in very many pairs is split by adaptive execution."""
+    Both joins bring texts to pairs; a text that stands in very many pairs is split by adaptive execution. Joins with
+    texts are sort-merge joins at every size: what they move grows with the input, without a step where a table of
+    ids outgrows a broadcast."""
     left, right = (texts.select(F.col("doc").alias(c), F.col("text").cast("binary").alias(f"text_{c}")) for c in "ab")
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
+    rows = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b")
 
     def sets(data: bytes) -> set:
         w = space_words(data)
@@ -247,7 +249,7 @@ def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     rank = buckets.groupBy("doc").agg(F.sum("size").alias("rank"))
     members = written(buckets.join(rank, "doc").select("bucket", "doc", "n", F.struct("rank", -F.col("doc")).alias("rank")), "members")
     wanted = members.select("doc").distinct()
-    candidate_texts = written(texts.join(wanted, "doc"), "texts")
+    candidate_texts = written(texts.join(wanted.hint("merge"), "doc"), "texts")
 
     near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  a link needs sets of like size
     def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -269,7 +271,7 @@ def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     rows = written(now.join(ends.where("least <> most").select("bucket"), "bucket"), "open")
     if not rows.isEmpty():
         own = rows.groupBy("doc").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-        sketches = written(_sketched(candidate_texts.join(own.select("doc"), "doc")), "sketches")
+        sketches = written(_sketched(candidate_texts.join(own.select("doc").hint("merge"), "doc")), "sketches")
         rows = rows.join(own, "doc").join(sketches, "doc")
         pairs = _open_pairs(rows.select("bucket", "doc", "n", "component", "sketch", "buckets"), percent)
         seen = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
