@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import map_arrow, row_key, small_batches, written
 
-#: Shorter lines are left alone.
+#: Shorter lines are left alone, or compared exactly (``short``).
 LEAST_WORDS = 5
 
 
@@ -64,8 +64,9 @@ def within_one_edit(a: list[bytes], b: list[bytes]) -> bool:
     return a[at + 1 :] == b[at + (len(a) == len(b)) :]
 
 
-def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, row, lines: array of line number, hash of its words (128 bits as text-free binary), and half keys."""
+def _lines(docs: DataFrame, least: int, short: bool = False) -> DataFrame:
+    """doc_id, row, lines: array of line number, hash of its words (128 bits as text-free binary), and half keys.
+    With ``short``, also lines of 1 to ``least`` - 1 words, without half keys, so that they have exact partners only."""
 
     def run(batch: pa.RecordBatch) -> dict:
         out, total = [], []
@@ -74,8 +75,9 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
             for k, line in enumerate(data.split(b"\n") if data else ()):
                 words = normal(line)
                 n += bool(words)
-                if len(words) >= least:
-                    rows.append({"line": k, "full": _signed(xxhash.xxh3_64_intdigest(b" ".join(words))), "halves": halves(words)})
+                if len(words) >= least or short and words:
+                    keys = halves(words) if len(words) >= least else []
+                    rows.append({"line": k, "full": _signed(xxhash.xxh3_64_intdigest(b" ".join(words))), "halves": keys})
             out.append(rows)
             total.append(n)
         return {"doc_id": batch.column(0), "row": batch.column(2), "n_lines": total, "lines": out}
@@ -93,11 +95,11 @@ def _place() -> Column:
     return F.struct("doc_id", "row", "line")
 
 
-def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
+def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, short: bool = False) -> tuple[DataFrame, DataFrame]:
     """(rows, removed): doc_id, row, n_lines of each row, and for rows that lose lines: row, removed (line numbers).
 
     A line goes if an earlier line, itself kept or not, is within one edit. See ``dedup_lines``."""
-    scanned = written(_lines(docs, least_words), "lines")
+    scanned = written(_lines(docs, least_words, short), "lines")
     each = scanned.select("doc_id", "row", F.explode("lines").alias("l")).select("doc_id", "row", "l.*")
     firsts = written(
         each.groupBy("full").agg(F.min(F.struct("doc_id", "row", "line", "halves")).alias("p"), F.count("*").alias("n")).select(
@@ -175,17 +177,18 @@ def without(data: bytes, removed: list[int]) -> bytes:
     return b"\n".join([x for k, x in enumerate(data.split(b"\n")) if k not in gone])
 
 
-def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, short: bool = False) -> DataFrame:
     """``docs`` without repeated lines, and without the rows that have no words left by that.
 
     Lines are split at line feeds and compared as words (white space splits, A-Z in lower case). A line of
     ``least_words`` or more goes if an earlier line of any document is within one word edit of it; earlier is by
-    doc_id (null first), then by a hash of id and text, then by line. Shorter lines stay. Rows that had no words before stay
+    doc_id (null first), then by a hash of id and text, then by line. Shorter lines stay, or with ``short`` go if an
+    earlier line has the same words, so that no copy survives as its short lines. Rows that had no words before stay
     as they are, null texts null. Repeated rows (same id and text) are one document: what one loses, all lose. All
     columns stay, under any name.
     """
     small_batches(docs.sparkSession)
-    _, removed = repeated_lines(docs, least_words)
+    _, removed = repeated_lines(docs, least_words, short)
     names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     rows = docs.select(row_key("doc_id", "text").alias("row"), *(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     rows = rows.join(removed, "row", "left")
@@ -210,7 +213,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 
 def line_report(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_lines (lines with words), n_removed, removed (line numbers from 0),
-    kept (some line with words stays, or there was none). The decisions are those of ``dedup_lines``."""
+    kept (some line with words stays, or there was none). The decisions are those of ``dedup_lines`` without ``short``."""
     rows, removed = repeated_lines(docs, least_words)
     joined = rows.join(removed, "row", "left")
     gone = F.coalesce(F.col("removed"), F.array().cast("array<int>"))
