@@ -2,6 +2,7 @@
 
 import random
 
+from tessella.llm import quality_classifier
 from tests.llm.test_operators import documents, words
 
 
@@ -14,3 +15,16 @@ def test_pipeline_drops_copies_with_short_lines(spark):
     texts = [text, text, text.upper(), f"{words(rng, 9)}\nthe END  of it\nThe end of all", "Haan\n\nlone words"]
     kept = {r["doc_id"]: r["text"] for r in corpus_pipeline.lines(spark, documents(spark, texts), "").collect()}
     assert kept == {0: text, 3: texts[3].replace("the END  of it\n", ""), 4: texts[4]}
+
+
+def test_toxic_documents_of_good_quality_are_rejected(spark):
+    rng = random.Random(13)
+    texts = [words(rng, 80, 300) + "." for _ in range(240)]
+    for i in range(0, 240, 3):  # no toxic word stands in many documents; their beginnings do
+        texts[i] = " ".join([texts[i], *(f"grim{rng.randrange(10**6)}" for _ in range(3))])
+    docs = documents(spark, texts)
+    truth = [(i, 1, int(i % 3 == 0)) for i in range(240)]
+    labels = spark.createDataFrame(truth[:160], "doc_id long, quality int, toxic int")
+    kept = {r["doc_id"] for r in quality_classifier.classify(docs, labels).where("kept").collect()}
+    assert kept == {r["doc_id"] for r in quality_classifier.keep_good(docs, labels).collect()}
+    assert sum((i in kept) == (not t) for i, _, t in truth[160:]) >= 0.9 * 80
