@@ -31,6 +31,15 @@ def _limit(df: DataFrame, slot: Slot) -> int:
     return int(slot.get("max_groups", 10_000))
 
 
+def _groups_of(rows: DataFrame, slot: Slot) -> list:
+    """All rows of a result with one row a group, refused beyond the limit of groups."""
+    most = _limit(rows, slot)
+    got = rows.limit(most + 1).collect()
+    if len(got) > most:
+        raise RequestError(f"{slot.type}: more than {most} groups")
+    return got
+
+
 def group_moments(df: DataFrame, slot: Slot, least: int = 2) -> list[tuple[str, int, float, float]]:
     """(label, n, mean, sample variance) of each group with values, in byte order of labels."""
     x = number(df, slot)
@@ -147,8 +156,7 @@ def anova_rm(df: DataFrame, slot: Slot) -> dict:
     """Repeated measures: subjects that have every condition; each cell is its rows' mean."""
     x, subject, by = number(df, slot), slot.need("subject_field"), _by(slot)
     cells = df.where(x.isNotNull()).groupBy(F.col(subject).alias("s"), by.alias("c")).agg(F.avg(x).alias("x"))
-    conditions = [r[0] for r in cells.select("c").distinct().limit(_limit(df, slot)).collect()]
-    k = len(conditions)
+    k = len(_groups_of(cells.select("c").distinct(), slot))
     whole = Window.partitionBy("s")
     full = cells.withColumns({"k": F.count("*").over(whole), "m": F.avg("x").over(whole)}).where(F.col("k") == k)
     by_c = full.groupBy("c").agg(F.count("*").alias("n"), F.avg("x").alias("m")).collect()
@@ -300,15 +308,21 @@ def kendall(df: DataFrame, slot: Slot) -> dict:
     return {"statistic": float(tau), "n": int(n), "z": float(z), "p": dist.normal_tail(float(z))}
 
 
-def rank_sums(df: DataFrame, slot: Slot) -> tuple[list[tuple[str, int, float]], float]:
-    """(label, n, rank sum) of each group and the sum of t³ - t over ties, from value counts."""
+def _ranked_groups(df: DataFrame, slot: Slot) -> tuple[DataFrame, float]:
+    """A table of g, n and rank sum of each group, and the sum of t³ - t over ties, from value counts."""
     x, by = number(df, slot), _by(slot)
     rows = df.where(x.isNotNull() & by.isNotNull()).select(x.alias("x"), by.alias("g"))
     ranks = mid_ranks(rows, "x")
     cells = rows.groupBy("g", "x").agg(F.count("*").alias("n"))
-    got = cells.join(ranks, F.col("x") == F.col("value")).groupBy("g").agg(F.sum("n"), F.sum(F.col("n") * F.col("rank"))).limit(_limit(df, slot)).collect()
+    sums = cells.join(ranks, F.col("x") == F.col("value")).groupBy("g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("r"))
     ties = ranks.agg(F.sum(F.pow("count", F.lit(3)) - F.col("count"))).first()[0] or 0.0
-    return sorted(((r[0], int(r[1]), float(r[2])) for r in got), key=lambda r: r[0].encode()), float(ties)
+    return sums, float(ties)
+
+
+def rank_sums(df: DataFrame, slot: Slot) -> tuple[list[tuple[str, int, float]], float]:
+    """(label, n, rank sum) of each group and the sum of t³ - t over ties."""
+    sums, ties = _ranked_groups(df, slot)
+    return sorted(((r[0], int(r[1]), float(r[2])) for r in _groups_of(sums, slot)), key=lambda r: r[0].encode()), ties
 
 
 @TESTS.add("TEST_MANN_WHITNEY_U")
@@ -327,10 +341,11 @@ def mann_whitney(df: DataFrame, slot: Slot) -> dict:
 
 @TESTS.add("TEST_KRUSKAL_WALLIS")
 def kruskal(df: DataFrame, slot: Slot) -> dict:
-    got, ties = rank_sums(df, slot)
-    n = sum(g[1] for g in got)
-    h = (12 / (n * (n + 1)) * sum(r * r / k for _, k, r in got) - 3 * (n + 1)) / (1 - ties / (n**3 - n))
-    return {"statistic": h, "df": len(got) - 1, "p": dist.chisq_tail(h, len(got) - 1)}
+    """The groups' terms are summed in Spark, so their number has no limit."""
+    sums, ties = _ranked_groups(df, slot)
+    k, n, terms = sums.agg(F.count("*"), F.sum("n"), F.sum(F.col("r") * F.col("r") / F.col("n"))).first()
+    h = (12 / (n * (n + 1)) * terms - 3 * (n + 1)) / (1 - ties / (n**3 - n))
+    return {"statistic": h, "df": k - 1, "p": dist.chisq_tail(h, k - 1)}
 
 
 @TESTS.add("TEST_WILCOXON_SR")
@@ -419,7 +434,7 @@ def _grouped(df: DataFrame, slot: Slot) -> list[tuple[str, int, np.ndarray, np.n
         F.count("*"), *(F.avg(c) for c in cols), *(F.covar_samp(cols[i], cols[j]) for i, j in pairs)
     )
     out = []
-    for r in sorted(rows.limit(_limit(df, slot)).collect(), key=lambda r: r[0].encode()):
+    for r in sorted(_groups_of(rows, slot), key=lambda r: r[0].encode()):
         cov = np.zeros((p, p))
         for v, (i, j) in zip(r[2 + p :], pairs):
             cov[i, j] = cov[j, i] = v
