@@ -42,12 +42,14 @@ class Phrases:
     def __init__(self, items: list[tuple[str, bytes]]) -> None:
         self.vocabulary = _Vocabulary()
         windows: dict[int, dict[tuple[int, ...], set[int]]] = {}
-        self.items = [i for i, _ in items]
-        for k, (_, data) in enumerate(items):
+        number: dict[str, int] = {}  # rows of one id are one item
+        for item, data in items:
+            k = number.setdefault(item, len(number))
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(data)]
             size = min(WINDOW, len(ids))
             for a in range(len(ids) - size + 1 if ids else 0):
                 windows.setdefault(size, {}).setdefault(tuple(ids[a : a + size]), set()).add(k)
+        self.items = list(number)
         self.least = min(windows, default=1)
         self.by_length = []
         for size, found in sorted(windows.items()):
