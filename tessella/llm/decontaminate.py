@@ -1,16 +1,14 @@
 """Benchmark decontamination with an FM-index for each shard of training text.
 
-A shard is a bounded number of documents' words. The test phrases (windows of benchmark items) are searched
-backwards through the ranks of a wavelet matrix, occurrences are located by sampled suffix positions, and the
-occurrences merge into removal spans.
-
-A phrase consists of benchmark words only, so an occurrence lies inside a run of such words; every other word ends a
-sequence of the indexed text, and runs shorter than the shortest phrase hold none. This keeps the index small and
-loses nothing.
+A shard is a bounded number of documents, and its index holds all their words, each document ending a sequence. The test
+phrases (windows of benchmark items) are searched backwards through the ranks of a wavelet matrix, occurrences are
+located by sampled suffix positions, and the occurrences merge into removal spans. An index knows nothing of the phrases:
+a benchmark of any size is searched, block by block, on the same indexes.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Callable, Iterator
 
@@ -20,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import alnum_words, map_arrow, row_key, small_batches
+from tessella.llm.common import alnum_words, map_arrow, owning, row_key, small_batches, written
 from tessella.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -31,26 +29,20 @@ BLOCK_BYTES = 8 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
-class _Vocabulary(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
-
-
 class Phrases:
-    """The windows of a block of benchmark items, as rows of symbols by length, and the items of each."""
+    """The windows of a block of benchmark items, as rows of places in a word list by length, and the items of each."""
 
     def __init__(self, items: list[tuple[str, bytes]]) -> None:
-        self.vocabulary = _Vocabulary()
+        vocabulary: dict[bytes, int] = {}
         windows: dict[int, dict[tuple[int, ...], set[int]]] = {}
         number: dict[str, int] = {}  # rows of one id are one item
         for item, data in items:
             k = number.setdefault(item, len(number))
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(data)]
+            ids = [vocabulary.setdefault(w, len(vocabulary)) for w in alnum_words(data)]
             size = min(WINDOW, len(ids))
             for a in range(len(ids) - size + 1 if ids else 0):
                 windows.setdefault(size, {}).setdefault(tuple(ids[a : a + size]), set()).add(k)
-        self.items = list(number)
-        self.least = min(windows, default=1)
+        self.words, self.items = list(vocabulary), list(number)
         self.by_length = []
         for size, found in sorted(windows.items()):
             owners = [sorted(x) for x in found.values()]
@@ -58,101 +50,178 @@ class Phrases:
             self.by_length.append((size, np.array(list(found), np.int64).reshape(-1, size), bounds, np.array(sum(owners, []), np.int64)))
 
 
-def scan_shard(texts: list[list[bytes]], phrases: Phrases) -> list[tuple[int, list[tuple[int, int]], list[str]]]:
-    """Per document of a shard (as words): its number of words, merged spans of words that phrases hit, and items."""
-    symbols = phrases.vocabulary.__getitem__
-    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    line = np.zeros(int(starts[-1]) + 1, np.int32)
-    for t, a in zip(texts, starts):
-        line[a : a + len(t)] = np.fromiter(map(symbols, t), np.int32, len(t))
-    none = [(len(t), [], []) for t in texts]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], (line > 0).astype(np.int8)])))
-    low, high = edge[::2], edge[1::2]
-    long = high - low >= phrases.least
-    low, high = low[long], high[long]
-    if not phrases.by_length or not len(low):
-        return none
-    sizes = high - low + 1  # with the 0 after each run
-    first = np.cumsum(sizes) - sizes
-    place = np.repeat(low - first, sizes) + np.arange(int(sizes.sum()))
-    index = FMIndex(line[place], len(phrases.vocabulary))
-    mark = np.zeros(len(line) + 1, np.int32)
-    hits: set[tuple[int, int]] = set()
-    for size, patterns, bounds, owners in phrases.by_length:
-        a, b = index.search(patterns)
-        found = np.flatnonzero(b > a)
-        if not len(found):
-            continue
-        count = (b - a)[found]
-        rows = np.repeat(a[found] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        at = place[index.locate(rows)]
-        np.add.at(mark, at, 1)
-        np.add.at(mark, at + size, -1)
-        docs = np.searchsorted(starts, at, side="right") - 1
-        of = np.repeat(found, count)
-        pairs = np.unique(docs * len(bounds) + of)
-        for d, w in zip((pairs // len(bounds)).tolist(), (pairs % len(bounds)).tolist()):
-            hits.update((d, k) for k in owners[bounds[w] : bounds[w + 1]].tolist())
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(mark) > 0).astype(np.int8), [0]])))
-    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        d = int(np.searchsorted(starts, a, side="right")) - 1
-        spans[d].append((a - int(starts[d]), b - int(starts[d])))
-    items: list[list[str]] = [[] for _ in texts]
-    for d, k in sorted(hits):
-        items[d].append(phrases.items[k])
-    return [(len(t), s, i) for t, s, i in zip(texts, spans, items)]
-
-
-def benchmark_blocks(benchmark: DataFrame) -> list[Broadcast]:
-    """The benchmark's phrases, broadcast in blocks of about ``BLOCK_BYTES``: one block unless it is larger."""
-    spark = benchmark.sparkSession
-    items = benchmark.where("item_id is not null and text is not null").select(
-        F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("data")
-    )
-    total = items.agg(F.sum(F.octet_length("data") + 64)).first()[0] or 0
-    count = -(-int(total) // BLOCK_BYTES) or 1
-    block = F.pmod(F.xxhash64("item", "data"), F.lit(count))
-    return [
-        spark.sparkContext.broadcast(Phrases([(r[0], bytes(r[1])) for r in items.where(block == k).collect()]))
-        for k in range(count)
-    ]
-
-
-def _shards(
-    batches: Iterator[pa.RecordBatch], text: int, phrases: Phrases
-) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, list[tuple[int, int]], list[str]]]]]:
-    """Batches with what was found in each of their rows; several batches make a shard."""
-    held: list[pa.RecordBatch] = []
-    words: list[list[bytes]] = []
-    size = 0
-    found: list = []
+class _Numbers(dict):
+    """Words by their first occurrence, from 1."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self) + 1
+        return n
+
+
+class Shard:
+    """The FM-index of a shard of documents (each as words), searched for any phrases."""
+
+    def __init__(self) -> None:
+        self.numbers = _Numbers()
+        self.parts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, words: list[bytes]) -> None:
+        ids = np.zeros(len(words) + 1, np.int32)
+        ids[:-1] = np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words))
+        self.parts.append(ids)
+        self.size += len(words)
+
+    def build(self) -> Shard:
+        self.starts = np.cumsum([0, *map(len, self.parts)])
+        self.index = FMIndex(np.concatenate(self.parts), len(self.numbers)) if self.parts else None
+        self.parts = []
+        return self
+
+    def pack(self) -> bytes:
+        return pickle.dumps((list(self.numbers), self.starts, self.index), 5)
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Shard:
+        out = cls()
+        words, out.starts, out.index = pickle.loads(data)
+        out.numbers.update(zip(words, range(1, len(words) + 1)))
+        return out
+
+    def search(self, phrases: Phrases) -> list[tuple[list[tuple[int, int]], list[str]]]:
+        """Per document: merged spans of the words that phrases hit, and the items of these."""
+        count = len(self.starts) - 1
+        mark = np.zeros(int(self.starts[-1]) + 1, np.int32)
+        hits: set[tuple[int, int]] = set()
+        symbols = np.array([self.numbers.get(w, 0) for w in phrases.words], np.int64)
+        for size, patterns, bounds, owners in phrases.by_length if count else ():
+            rows = symbols[patterns]
+            able = np.flatnonzero((rows > 0).all(1))  # a word that the shard lacks: no occurrence
+            a, b = self.index.search(rows[able])
+            met = np.flatnonzero(b > a)
+            if not len(met):
+                continue
+            times = (b - a)[met]
+            rows = np.repeat(a[met] - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            at = self.index.locate(rows)
+            np.add.at(mark, at, 1)
+            np.add.at(mark, at + size, -1)
+            docs = np.searchsorted(self.starts, at, side="right") - 1
+            pairs = np.unique(docs * len(bounds) + np.repeat(able[met], times))
+            for d, w in zip((pairs // len(bounds)).tolist(), (pairs % len(bounds)).tolist()):
+                hits.update((d, k) for k in owners[bounds[w] : bounds[w + 1]].tolist())
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], (np.cumsum(mark) > 0).astype(np.int8), [0]])))
+        spans: list[list[tuple[int, int]]] = [[] for _ in range(count)]
+        of = np.searchsorted(self.starts, edge[::2], side="right") - 1
+        for d, a, b in zip(of.tolist(), edge[::2].tolist(), edge[1::2].tolist()):
+            spans[d].append((a - int(self.starts[d]), b - int(self.starts[d])))
+        items: list[list[str]] = [[] for _ in range(count)]
+        for d, k in sorted(hits):
+            items[d].append(phrases.items[k])
+        return list(zip(spans, items))
+
+
+class Blocks:
+    """The benchmark's phrases in blocks of about ``BLOCK_BYTES`` of text, one broadcast at a time."""
+
+    def __init__(self, benchmark: DataFrame) -> None:
+        self.items = benchmark.where("item_id is not null and text is not null").select(
+            F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("data")
+        )
+        total = self.items.agg(F.sum(F.octet_length("data") + 64)).first()[0] or 0
+        self.count = -(-int(total) // BLOCK_BYTES) or 1
+
+    def broadcast(self, k: int) -> Broadcast:
+        rows = self.items.where(F.pmod(F.xxhash64("item", "data"), F.lit(self.count)) == k).collect()
+        return self.items.sparkSession.sparkContext.broadcast(Phrases([(r[0], bytes(r[1])) for r in rows]))
 
-    def flush() -> Iterator:
-        nonlocal held, words, size, found
-        found += scan_shard(words, phrases)
-        at = 0
-        for b in held:
-            yield b, found[at : at + b.num_rows]
-            at += b.num_rows
-        held, words, size, found = [], [], 0, []
 
+Found = tuple[int, list[tuple[int, int]], list[str]]
+
+
+def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[list[pa.RecordBatch], Shard, list[int]]]:
+    """Batches of a shard, its index and the number of words of each row. A batch is cut where a shard is full."""
+    held: list[pa.RecordBatch] = []
+    shard, sizes = Shard(), []
     for batch in batches:
-        held.append(batch)
-        for k in range(batch.num_rows):
-            own = alnum_words(batch.column(text)[k].as_py())
-            words.append(own)
-            size += len(own)
-            if size >= SHARD_WORDS or len(words) >= SHARD_DOCS:
-                found += scan_shard(words, phrases)
-                words, size = [], 0
-        if not words or len(held) >= 8:
-            yield from flush()
+        begin = 0
+        for k, data in enumerate(batch.column(text)):
+            words = alnum_words(data.as_py())
+            sizes.append(len(words))
+            shard.add(words)
+            if shard.size >= SHARD_WORDS or len(sizes) >= SHARD_DOCS:
+                yield [*held, batch.slice(begin, k + 1 - begin)], shard.build(), sizes
+                held, shard, sizes, begin = [], Shard(), [], k + 1
+        if begin < batch.num_rows:
+            held.append(batch.slice(begin))
     if held:
-        yield from flush()
+        yield held, shard.build(), sizes
+
+
+def _searched(batches: Iterator[pa.RecordBatch], text: int, phrases: Phrases) -> Iterator[tuple[pa.RecordBatch, list[Found]]]:
+    """Batches with what was found in each of their rows."""
+    for held, shard, sizes in _shards(batches, text):
+        found = [(n, s, i) for n, (s, i) in zip(sizes, shard.search(phrases))]
+        at = 0
+        for batch in held:
+            yield batch, found[at : at + batch.num_rows]
+            at += batch.num_rows
 
 
 SPAN = "struct<start:bigint,end:bigint>"
+HIT = f"copy bigint, n_words bigint, spans array<{SPAN}>, items array<string>"
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _rows(first: list[pa.Array], found: list[Found]) -> pa.RecordBatch:
+    spans = pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in found], _SPANS)
+    columns = [*first, pa.array([r[0] for r in found], pa.int64()), spans, pa.array([r[2] for r in found], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "copy", "n_words", "spans", "items"][-len(columns) :])
+
+
+def shard_indexes(source: DataFrame) -> DataFrame:
+    """A row for each shard of ``source`` (doc_id, text as binary, copy): docs (array of doc_id, copy, n_words) and index."""
+    kind = source.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, shard, sizes in _shards(batches, 1):
+            ids, copies = (pa.chunked_array([b.column(k) for b in held]).combine_chunks() for k in (0, 2))
+            rows = pa.StructArray.from_arrays([ids, copies, pa.array(sizes, pa.int64())], ["doc_id", "copy", "n_words"])
+            docs = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            yield pa.RecordBatch.from_arrays([docs, pa.array([shard.pack()], pa.binary())], ["docs", "index"])
+
+    return source.mapInArrow(run, f"docs array<struct<doc_id:{kind},copy:bigint,n_words:bigint>>, index binary")
+
+
+def _in_blocks(source: DataFrame, blocks: Blocks) -> DataFrame:
+    """What ``find_hits`` merges, for a benchmark of several blocks: the indexes are written once, and each block in its
+    turn is broadcast and searched on them."""
+    indexes = written(shard_indexes(source), "indexes")
+    with owning():
+        parts = []
+        for k in range(blocks.count):
+            phrases = blocks.broadcast(k)
+
+            def run(batches: Iterator[pa.RecordBatch], phrases: Broadcast = phrases) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for docs, index in zip(batch.column(0).to_pylist(), batch.column(1)):
+                        found = Shard.unpack(index.as_py()).search(phrases.value)
+                        met = [(d, (d["n_words"], *f)) for d, f in zip(docs, found) if f[0]]
+                        yield _rows([pa.array([d["copy"] for d, _ in met], pa.int64())], [f for _, f in met])
+
+            parts.append(written(indexes.mapInArrow(run, HIT), "hits"))
+            phrases.destroy()
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        merged = every.groupBy("copy").agg(
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
+            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
+        )
+        merged = written(merged, "merged", outlive=True)
+    rows = indexes.select(F.explode("docs").alias("d")).select("d.*").join(merged, "copy", "left")
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return map_arrow(rows.select("doc_id", "copy", "n_words", "spans", "items"), _merge, f"doc_id {kind}, {HIT}")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -160,41 +229,23 @@ def find_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ids as strings), n_hit, n_items, items_sha256, contaminated.
 
     Null and empty texts have no words; null item ids and texts are no items; repeated rows give repeated results;
-    other columns are ignored. Documents aren't shuffled while the benchmark fits one block; beyond it, each block
-    is searched and the blocks' spans merge by document.
+    other columns are ignored. Nothing is shuffled while the benchmark fits one block; beyond it the indexes are written
+    to the shared folder, and the blocks' spans merge by document.
     """
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, copy bigint, n_words bigint, spans array<{SPAN}>, items array<string>"
     source = docs.select("doc_id", F.col("text").cast("binary"), row_key("doc_id", "text").alias("copy"))
+    blocks = Blocks(benchmark)
+    if blocks.count > 1:
+        found = _in_blocks(source, blocks)
+    else:
+        phrases = blocks.broadcast(0)
 
-    def searched(phrases: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch, rows in _shards(batches, 1, phrases.value):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0),
-                        batch.column(2),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([[{"start": a, "end": b} for a, b in r[1]] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([r[2] for r in rows], pa.list_(pa.string())),
-                    ],
-                    ["doc_id", "copy", "n_words", "spans", "items"],
-                )
-
-        return source.mapInArrow(run, schema)
-
-    blocks = benchmark_blocks(benchmark)
-    found = searched(blocks[0])
-    if len(blocks) > 1:
-        for b in blocks[1:]:
-            found = found.unionByName(searched(b))
-        merged = found.groupBy("copy").agg(
-            F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
-            F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        )
-        found = searched(blocks[0]).drop("spans", "items").join(merged, "copy")
-        found = map_arrow(found.select("doc_id", "copy", "n_words", "spans", "items"), _merge, schema)
+            for batch, rows in _searched(batches, 1, phrases.value):
+                yield _rows([batch.column(0), batch.column(2)], rows)
+
+        found = source.mapInArrow(run, f"doc_id {kind}, {HIT}")
     sizes = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["end"] - s["start"])
     return found.select(
         "doc_id",
@@ -213,13 +264,13 @@ def _merge(batch: pa.RecordBatch) -> dict:
     out = []
     for spans in batch.column(3).to_pylist():
         merged: list[dict] = []
-        for s in spans:
+        for s in spans or ():
             if merged and s["start"] <= merged[-1]["end"]:
                 merged[-1]["end"] = max(merged[-1]["end"], s["end"])
             else:
                 merged.append(dict(s))
         out.append(merged)
-    return {n: batch.column(k) for k, n in enumerate(("doc_id", "copy", "n_words"))} | {"spans": out, "items": batch.column(4)}
+    return {n: batch.column(k) for k, n in enumerate(("doc_id", "copy", "n_words"))} | {"spans": out, "items": [x or [] for x in batch.column(4).to_pylist()]}
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -235,8 +286,8 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without contaminated rows (hits in a twentieth of the words or more) and, in all others, without the
     words hit. All columns stay, under any name; a null text stays null."""
-    blocks = benchmark_blocks(benchmark)
-    if len(blocks) > 1:
+    blocks = Blocks(benchmark)
+    if blocks.count > 1:
         hits = find_hits(docs, benchmark).where("n_hit > 0").groupBy("copy").agg(
             F.first("spans").alias("spans"), F.first("contaminated").alias("contaminated")
         )
@@ -255,10 +306,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         kinds = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in names.items())
         return map_arrow(rows, apply, kinds).toDF(*docs.columns)
     small_batches(docs.sparkSession)
-    text, phrases = docs.columns.index("text"), blocks[0]
+    text, phrases = docs.columns.index("text"), blocks.broadcast(0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _shards(_encoded(batches, text), text, phrases.value):
+        for batch, rows in _searched(_encoded(batches, text), text, phrases.value):
             keep, texts = [], []
             for k, (n_words, spans, _) in enumerate(rows):
                 hit = sum(b - a for a, b in spans)
