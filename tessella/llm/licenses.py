@@ -7,6 +7,7 @@ the candidates; the ``regex`` library's bounded-error matching verifies each can
 
 from __future__ import annotations
 
+import bisect
 import functools
 from dataclasses import dataclass
 
@@ -67,11 +68,12 @@ class Matcher:
             self.seeds.add_word(seed, (len(seed), where))
         self.seeds.make_automaton()
 
-    def find(self, text: str) -> list[tuple[int, int, str, int]]:
-        """(start, end, label, edits) of the matches in lower-cased text, in order; code points, end exclusive.
+    def find(self, text: str) -> list[tuple[int, int, str, int, float]]:
+        """(start, end, label, edits, share of the notice's characters without an edit) of the matches in lower-cased
+        text, in order; code points, end exclusive.
 
-        Matches of one notice do not overlap: of overlapping candidates the one with fewest edits, then the
-        leftmost, stays."""
+        Matches do not overlap: of overlapping ones, of whatever notices, the one with fewest edits stays, then the
+        one of the longest notice, then the leftmost."""
         windows: dict[int, list[list[int]]] = {}
         for at, (size, where) in self.seeds.iter(text):
             for k, offset in where:
@@ -91,15 +93,21 @@ class Matcher:
                     merged.append([low, high])
             for low, high in merged:
                 out += self.verify(k, text, low, high)
-        return sorted(out)
-
-    def verify(self, k: int, text: str, low: int, high: int) -> list[tuple[int, int, str, int]]:
+        best: list[tuple[int, int, int, int]] = []
+        for edits, _, start, end, k in sorted((e, -len(self.notices[k].text), a, b, k) for a, b, e, k in out):
+            at = bisect.bisect_left(best, (start,))
+            if (at == 0 or best[at - 1][1] <= start) and (at == len(best) or end <= best[at][0]):
+                best.insert(at, (start, end, edits, k))
+        return [(a, b, self.notices[k].label, e, 1 - e / len(self.notices[k].text)) for a, b, e, k in best]
+
+    def verify(self, k: int, text: str, low: int, high: int) -> list[tuple[int, int, int, int]]:
+        """(start, end, edits, notice): the best match in a range, then the best ones on both sides of it."""
         found, todo = [], [(low, high)]
         least = len(self.notices[k].text) - self.notices[k].edits
         while todo:
             a, b = todo.pop()
             if b - a >= least and (m := self.patterns[k].search(text, a, b)):
-                found.append((m.start(), m.end(), self.notices[k].label, sum(m.fuzzy_counts)))
+                found.append((m.start(), m.end(), sum(m.fuzzy_counts), k))
                 todo += [(a, m.start()), (m.end(), b)]
         return found
 
@@ -120,10 +128,11 @@ def phrase_places(words: list[bytes]) -> list[tuple[int, str]]:
     line, out = b" " + b" ".join(words) + b" ", []
     for phrase, label in PHRASES:
         sought = b" " + phrase + b" "
-        at = line.find(sought)
+        at, word, done = line.find(sought), 0, 0
         while at >= 0:
-            out.append((line.count(b" ", 0, at), label))
-            at = line.find(sought, at + 1)
+            word += line.count(b" ", done, at)
+            out.append((word, label))
+            done, at = at, line.find(sought, at + 1)
     return sorted(out)
 
 
@@ -131,20 +140,19 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> Dat
     """One row for each row of ``docs``, from its whole text.
 
     doc_id, n_words, n_base, first_word, last_word, base_labels (phrases of whole words), labels (base and fuzzy
-    notices), score (1 for a phrase, else the best match's share of unedited characters, else 0), matches
-    (array of start, end, label, edits; code points of the text, end exclusive). A null or empty text has no words
+    notices), score (1 for a phrase, else the best match's share of its notice's characters that no edit touched, else
+    0), matches (array of start, end, label, edits; code points of the text, end exclusive; none overlap). A null or empty text has no words
     and no matches; repeated rows give repeated results; other columns are ignored. Nothing is shuffled.
     """
 
     def run(batch: pa.RecordBatch) -> dict:
         rows, find = [], matcher(notices).find
-        longest = {n.label: max(len(m.text) for m in notices if m.label == n.label) for n in notices}
         for data in batch.column(1).to_pylist():
             words = alnum_words(data)
             base = phrase_places(words)
             matches = find(as_text(data.lower() if data else None))
             labels = {x for _, x in base}
-            score = 1.0 if base else max((1 - e / max(longest[x], 1) for *_, x, e in matches), default=0.0)
+            score = 1.0 if base else max((m[4] for m in matches), default=0.0)
             rows.append((len(words), base, labels, matches, score))
         return {
             "doc_id": batch.column(0),
@@ -155,7 +163,7 @@ def scan_licenses(docs: DataFrame, notices: tuple[Notice, ...] = NOTICES) -> Dat
             "base_labels": [",".join(sorted(r[2])) for r in rows],
             "labels": [",".join(sorted(r[2] | {m[2] for m in r[3]})) for r in rows],
             "score": [r[4] for r in rows],
-            "matches": [[{"start": a, "end": b, "label": x, "edits": e} for a, b, x, e in r[3]] for r in rows],
+            "matches": [[{"start": a, "end": b, "label": x, "edits": e} for a, b, x, e, _ in r[3]] for r in rows],
         }
 
     kind = docs.schema["doc_id"].dataType.simpleString()
