@@ -104,6 +104,9 @@ def line_frequency_rules(
     hosts = stats.groupBy("host").agg(F.countDistinct(doc).alias("documents"))
     often = each.groupBy("host", "line").agg(F.countDistinct(doc).alias("n")).where(F.col("n") > max_documents)
     often = often.join(hosts, "host").where(F.col("n") > F.lit(max_share) * F.col("documents")).select("host", "line")
+    # Written first, so that the hot lines of `each` meet a table of known size: no shuffle of `each` where it is small
+    # (at most one line in max_share of a host's documents for each line of a document), a split of hot keys else.
+    often = written(often, "often")
     gone = each.join(often, ["host", "line"]).select("host", "row", "line", "words").distinct()
     gone = gone.groupBy("host", "row").agg(F.sum("words").alias("n_removed_words"), *([F.collect_set("line").alias("removed")] if texts else []))
     rated = (
