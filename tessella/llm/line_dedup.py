@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import map_arrow, row_key, small_batches, written
+from tessella.llm.common import map_arrow, owning, row_key, small_batches, written
 
 #: Shorter lines are left alone, or compared exactly (``short``).
 LEAST_WORDS = 5
@@ -26,7 +26,8 @@ def _signed(h: int) -> int:
 
 
 def key(tag: str, words: list[bytes]) -> int:
-    return _signed(xxhash.xxh3_64_intdigest(b" ".join(words), sum(tag.encode()) + 256 * len(words)))
+    """Of some words of a line: the tag and the number of words keep unlike keys apart."""
+    return _signed(xxhash.xxh3_64_intdigest(b" ".join(words), xxhash.xxh32_intdigest(tag) << 32 | len(words)))
 
 
 def normal(line: bytes) -> list[bytes]:
@@ -40,7 +41,7 @@ def halves(words: list[bytes]) -> list[int]:
     for size in (n, n - 1):
         head = size // 2
         for tag, part in (("head", words[:head]), ("tail", words[n - (size - head) :])):
-            out.append(_signed(xxhash.xxh3_64_intdigest(b" ".join(part), len(tag) * size + (tag == "tail"))))
+            out.append(key(f"{tag} of {size}", part))
     return out
 
 
@@ -51,7 +52,7 @@ def variants(words: list[bytes]) -> list[tuple[str, int]]:
     for i in range(len(words)):
         rest = words[:i] + words[i + 1 :]
         out.add(("less", key("full", rest)))
-        out.add((f"same", _signed(xxhash.xxh3_64_intdigest(b" ".join(rest), (i + 1) << 20 | len(words)))))
+        out.add(("same", key(f"without {i}", rest)))
     return sorted(out)
 
 
@@ -114,55 +115,56 @@ def repeated_lines(docs: DataFrame, least_words: int = LEAST_WORDS, short: bool
     candidates = firsts.select("full", "place").join(wanted, "full")
     by_row = candidates.groupBy("place.row").agg(F.collect_list(F.struct("place.line", "full", "place")).alias("want"))
     source = docs.select(F.col("text").cast("binary").alias("text"), row_key("doc_id", "text").alias("row"))
-    texts = source.join(by_row, "row").select("text", "want")
-
-    def pick(batch: pa.RecordBatch) -> dict:
-        full, place, words = [], [], []
-        for data, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines = data.split(b"\n")
-            for w in want:
-                full.append(w["full"])
-                place.append(w["place"])
-                words.append(b" ".join(normal(lines[w["line"]])))
-        return {"full": full, "place": place, "words": words}
-
-    place_kind = firsts.schema["place"].dataType.simpleString()
-    chosen = written(map_arrow(texts, pick, f"full bigint, place {place_kind}, words binary").dropDuplicates(["full"]), "candidates")
-
-    def emit(batch: pa.RecordBatch) -> dict:
-        full, kinds, keys, at = [], [], [], []
-        for k, (f, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-            for kind, value in variants(words.split()):
-                full.append(f)
-                kinds.append(kind)
-                keys.append(value)
-                at.append(k)
-        return {"full": full, "place": batch.column(1).take(pa.array(at, pa.int32())), "kind": kinds, "key": keys}
-
-    emitted = map_arrow(chosen.select("full", "place", "words"), emit, f"full bigint, place {place_kind}, kind string, key bigint")
-    emitted = written(emitted, "variants")
-    # Of each group only its earliest member matters: the others are compared with that one.
-    me = F.struct("place", "full")
-    group = F.when(F.col("kind") == "same", "same").otherwise("size")
-    heads = emitted.groupBy(group.alias("group"), "key").agg(
-        F.min(F.when(F.col("kind") == "same", me)).alias("same"),
-        F.min(F.when(F.col("kind") == "full", me)).alias("full_head"),
-        F.min(F.when(F.col("kind") == "less", me)).alias("less_head"),
-        F.count("*").alias("n"),
-    ).where("n > 1 and (same is not null or (full_head is not null and less_head is not null))")
-    met = emitted.withColumn("group", group).join(heads.drop("n"), ["group", "key"])
-    head = F.when(F.col("kind") == "same", F.col("same")).when(F.col("kind") == "less", F.col("full_head")).otherwise(F.col("less_head"))
-    pairs = met.withColumn("head", head).where("head.place < place").select("full", F.col("head.full").alias("earlier")).distinct()
-    words = chosen.select("full", "words")
-    pairs = pairs.join(words, "full").join(words.toDF("earlier", "earlier_words"), "earlier")
-
-    def verify(batch: pa.RecordBatch) -> dict:
-        a, b = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        good = [f for f, x, y in zip(batch.column(0).to_pylist(), a, b) if within_one_edit(x.split(), y.split())]
-        return {"full": good}
-
-    near = map_arrow(pairs.select("full", "words", "earlier_words"), verify, "full bigint").distinct()
-    near = written(near, "near")
+    with owning():
+        texts = source.join(by_row, "row").select("text", "want")
+
+        def pick(batch: pa.RecordBatch) -> dict:
+            full, place, words = [], [], []
+            for data, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lines = data.split(b"\n")
+                for w in want:
+                    full.append(w["full"])
+                    place.append(w["place"])
+                    words.append(b" ".join(normal(lines[w["line"]])))
+            return {"full": full, "place": place, "words": words}
+
+        place_kind = firsts.schema["place"].dataType.simpleString()
+        chosen = written(map_arrow(texts, pick, f"full bigint, place {place_kind}, words binary").dropDuplicates(["full"]), "candidates")
+
+        def emit(batch: pa.RecordBatch) -> dict:
+            full, kinds, keys, at = [], [], [], []
+            for k, (f, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                for kind, value in variants(words.split()):
+                    full.append(f)
+                    kinds.append(kind)
+                    keys.append(value)
+                    at.append(k)
+            return {"full": full, "place": batch.column(1).take(pa.array(at, pa.int32())), "kind": kinds, "key": keys}
+
+        emitted = map_arrow(chosen.select("full", "place", "words"), emit, f"full bigint, place {place_kind}, kind string, key bigint")
+        emitted = written(emitted, "variants")
+        # Of each group only its earliest member matters: the others are compared with that one.
+        me = F.struct("place", "full")
+        group = F.when(F.col("kind") == "same", "same").otherwise("size")
+        heads = emitted.groupBy(group.alias("group"), "key").agg(
+            F.min(F.when(F.col("kind") == "same", me)).alias("same"),
+            F.min(F.when(F.col("kind") == "full", me)).alias("full_head"),
+            F.min(F.when(F.col("kind") == "less", me)).alias("less_head"),
+            F.count("*").alias("n"),
+        ).where("n > 1 and (same is not null or (full_head is not null and less_head is not null))")
+        met = emitted.withColumn("group", group).join(heads.drop("n"), ["group", "key"])
+        head = F.when(F.col("kind") == "same", F.col("same")).when(F.col("kind") == "less", F.col("full_head")).otherwise(F.col("less_head"))
+        pairs = met.withColumn("head", head).where("head.place < place").select("full", F.col("head.full").alias("earlier")).distinct()
+        words = chosen.select("full", "words")
+        pairs = pairs.join(words, "full").join(words.toDF("earlier", "earlier_words"), "earlier")
+
+        def verify(batch: pa.RecordBatch) -> dict:
+            a, b = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            good = [f for f, x, y in zip(batch.column(0).to_pylist(), a, b) if within_one_edit(x.split(), y.split())]
+            return {"full": good}
+
+        near = map_arrow(pairs.select("full", "words", "earlier_words"), verify, "full bigint").distinct()
+        near = written(near, "near", outlive=True)
     # Every occurrence of a line with an earlier neighbour goes, and of all other lines every occurrence but the first.
     again = each.select("row", "line", "full", _place().alias("place")).join(
         firsts.where("n > 1").select("full", F.col("place").alias("first")), "full"
