@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import components, map_arrow, space_words, written
+from tessella.llm.common import components, map_arrow, owning, space_words, written
 
 SHINGLE = 5
 #: Coordinates of a signature: so many bands of so many rows. At a similarity of 0.75 a pair meets in no band with
@@ -27,6 +27,9 @@ BANDS, ROWS = 30, 4
 SKETCH, SPREAD = 1024, 4.5
 #: Documents of a block: the open documents of a bucket are compared block by block.
 BLOCK = 512
+#: A bucket of more than PARTS blocks is split first, by so many bands of so many further coordinates (the sketch's):
+#: a pair at a similarity of 0.75 meets in none with a chance of (1 - 0.75 ** 8) ** 128, about 1e-6.
+PARTS, PART_ROWS = 128, 8
 _CHUNK = 40_000
 
 
@@ -91,14 +94,24 @@ def signatures(sets: list[np.ndarray], width: int = BANDS * ROWS) -> np.ndarray:
     return out
 
 
-def band_keys(signature: np.ndarray) -> np.ndarray:
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(signature), BANDS)).copy()
-    rows = signature.reshape(len(signature), BANDS, ROWS).astype(np.uint64)
-    for k in range(ROWS):
+def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    keys = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (len(signature), bands)).copy()
+    rows = signature.reshape(len(signature), bands, -1).astype(np.uint64)
+    for k in range(rows.shape[2]):
         keys = _mix64(keys * np.uint64(0x9E3779B97F4A7C15) + rows[:, :, k])
     return keys.view(np.int64)
 
 
+def _parts(texts: DataFrame) -> DataFrame:
+    """doc and parts: the bands that split very large buckets."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = signatures([shingle_hashes(space_words(b)) for b in batch.column(1).to_pylist()], PARTS * PART_ROWS)
+        return {"doc": batch.column(0), "parts": list(band_keys(found, PARTS))}
+
+    return map_arrow(texts.select("doc", F.col("text").cast("binary")), run, "doc bigint, parts array<bigint>")
+
+
 def _sketched(texts: DataFrame) -> DataFrame:
     """doc and sketch: the lowest four bits of each of SKETCH coordinates, sixteen in a long."""
 
@@ -114,26 +127,27 @@ def _sketched(texts: DataFrame) -> DataFrame:
 def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of one bucket, of different components and like size, whose sketches leave a link possible.
 
-    ``rows``: bucket, doc, n, component, sketch, buckets (all open buckets of the document, sorted). The members of a
-    bucket are dealt into blocks, and every pair of blocks is a small dense comparison of its own, so no task holds a
-    large bucket. A pair that shares several buckets is given once, by the lowest of them."""
+    ``rows``: bucket, part, doc, n, component, sketch, buckets (all open buckets of the document, sorted). The members of
+    a part of a bucket are dealt into blocks, and every pair of blocks is a small dense comparison of its own, so no task
+    holds a large bucket. A pair that shares several buckets is given by the lowest of them only; one that shares several
+    parts of it is given by each."""
     chance = (1 - percent / 100) * 15 / 16
     most = int(SKETCH * chance + SPREAD * (SKETCH * chance * (1 - chance)) ** 0.5) + 1
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = rows.groupBy("bucket", "part").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    dealt = rows.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = rows.join(sizes, ["bucket", "part"]).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = dealt.select(
-        "bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc", "n", "component", "sketch", "buckets"
+        "bucket", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc", "n", "component", "sketch", "buckets"
     )
-    dealt = dealt.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+    dealt = dealt.repartition("bucket", "part", "low", "high").sortWithinPartitions("bucket", "part", "low", "high")
 
     def compare(group: list[tuple]) -> list[tuple[int, int]]:
-        _, low, high = group[0][:3]
-        left = [r for r in group if r[3] == low]
-        right = left if low == high else [r for r in group if r[3] == high]
+        _, _, low, high = group[0][:4]
+        left = [r for r in group if r[4] == low]
+        right = left if low == high else [r for r in group if r[4] == high]
         if not left or not right or len(group) < 2:
             return []
-        side = lambda part: (np.array([r[4] for r in part]), np.array([r[5] for r in part]), np.array([r[6] for r in part]), np.array([r[7] for r in part], np.int64).view(np.uint64))
+        side = lambda part: (np.array([r[5] for r in part]), np.array([r[6] for r in part]), np.array([r[7] for r in part]), np.array([r[8] for r in part], np.int64).view(np.uint64))
         (da, na, ca, sa), (db, nb, cb, sb) = side(left), side(right)
         out = []
         for k in range(len(left)):
@@ -146,7 +160,7 @@ def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
                 x |= x >> np.uint64(2)
                 differ = np.bitwise_count(x & np.uint64(0x1111111111111111)).sum(1)
                 for j in at[differ <= most].tolist():
-                    shared = set(left[k][8]).intersection(right[j][8])
+                    shared = set(left[k][9]).intersection(right[j][9])
                     if min(shared) == group[0][0]:
                         out.append((int(min(da[k], db[j])), int(max(da[k], db[j]))))
         return out
@@ -156,7 +170,7 @@ def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             found = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and row[:3] != held[0][:3]:
+                if held and row[:4] != held[0][:4]:
                     found += compare(held)
                     held = []
                 held.append(row)
@@ -236,47 +250,64 @@ def link_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     first by longer sketches (circulant MinHash again, over the open documents only), then, where these leave a link
     possible, by full sets.
     """
-    one = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("text").alias("text")) if _repeats(docs) else docs.where("doc_id is not null")
+    return _linked(docs, percent, _repeats(docs))
+
+
+def _linked(docs: DataFrame, percent: int, repeats: bool) -> DataFrame:
+    one = docs.where("doc_id is not null")
+    one = one.groupBy("doc_id").agg(F.min("text").alias("text")) if repeats else one
     texts = one.select(F.col("doc_id").cast("bigint").alias("doc"), "text")
     signed = written(_signed(texts), "signatures")
     reps = signed.where("content is not null").groupBy("content").agg(F.min("doc").alias("rep"))
     reps = written(reps, "copies")
-    spread = signed.join(reps.select(F.col("rep").alias("doc")), "doc").select(
-        "doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")
-    )
-    shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = written(spread.join(shared, "bucket").select("bucket", "doc", "n", "size"), "buckets")
-    rank = buckets.groupBy("doc").agg(F.sum("size").alias("rank"))
-    members = written(buckets.join(rank, "doc").select("bucket", "doc", "n", F.struct("rank", -F.col("doc")).alias("rank")), "members")
-    wanted = members.select("doc").distinct()
-    candidate_texts = written(texts.join(wanted.hint("merge"), "doc"), "texts")
-
-    near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  a link needs sets of like size
-    def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        done = written(_confirmed(pairs.distinct(), candidate_texts), "confirmed")
-        return done.select("a", "b"), done.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b")
-
-    def labelled(links: DataFrame) -> DataFrame:
-        return written(components(links), "components").withColumnRenamed("node", "doc")
-
-    # One document of each bucket with all others of it.
-    pivots = members.groupBy("bucket").agg(F.max(F.struct("rank", "doc", "n")).alias("p"))
-    pivots = pivots.select("bucket", F.col("p.doc").alias("a"), F.col("p.n").alias("a_n"))
-    stars = members.join(pivots, "bucket").where((F.col("doc") != F.col("a")) & near(F.col("n"), F.col("a_n")))
-    checked, links = confirmed(stars.select("a", F.col("doc").alias("b")))
-    labels = labelled(links)
-    # What is in different components of a bucket still.
-    now = members.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    ends = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    rows = written(now.join(ends.where("least <> most").select("bucket"), "bucket"), "open")
-    if not rows.isEmpty():
-        own = rows.groupBy("doc").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
-        sketches = written(_sketched(candidate_texts.join(own.select("doc").hint("merge"), "doc")), "sketches")
-        rows = rows.join(own, "doc").join(sketches, "doc")
-        pairs = _open_pairs(rows.select("bucket", "doc", "n", "component", "sketch", "buckets"), percent)
-        seen = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        _, more = confirmed(pairs.join(seen, ["a", "b"], "left_anti"))
-        labels = labelled(links.unionByName(more))
+    with owning():  # all but signatures, copies and components goes
+        spread = signed.join(reps.select(F.col("rep").alias("doc")), "doc").select(
+            "doc", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")
+        )
+        shared = spread.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        # Written first: a join of two scans, whose hot buckets adaptive execution can split.
+        shared = written(shared, "shared")
+        buckets = written(spread.join(shared.hint("merge"), "bucket").select("bucket", "doc", "n", "size"), "buckets")
+        rank = buckets.groupBy("doc").agg(F.sum("size").alias("rank"))
+        members = written(buckets.join(rank, "doc").select("bucket", "doc", "n", F.struct("rank", -F.col("doc")).alias("rank")), "members")
+        wanted = members.select("doc").distinct()
+        candidate_texts = written(texts.join(wanted.hint("merge"), "doc"), "texts")
+
+        near = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  a link needs sets of like size
+        def confirmed(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+            done = written(_confirmed(pairs.distinct(), candidate_texts), "confirmed")
+            return done.select("a", "b"), done.where(100 * F.col("shared") >= percent * F.col("total")).select("a", "b")
+
+        def labelled(links: DataFrame) -> DataFrame:
+            return written(components(links), "components", outlive=True).withColumnRenamed("node", "doc")
+
+        # One document of each bucket with all others of it.
+        pivots = members.groupBy("bucket").agg(F.max(F.struct("rank", "doc", "n")).alias("p"))
+        pivots = written(pivots.select("bucket", F.col("p.doc").alias("a"), F.col("p.n").alias("a_n")), "pivots")
+        stars = members.join(pivots.hint("merge"), "bucket").where((F.col("doc") != F.col("a")) & near(F.col("n"), F.col("a_n")))
+        checked, links = confirmed(stars.select("a", F.col("doc").alias("b")))
+        labels = labelled(links)
+        # What is in different components of a bucket still.
+        now = members.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        ends = now.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+        mixed = written(ends.where("least <> most").select("bucket"), "mixed")
+        rows = written(now.join(mixed, "bucket"), "open")
+        if not rows.isEmpty():
+            own = rows.groupBy("doc").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+            sketches = written(_sketched(candidate_texts.join(own.select("doc").hint("merge"), "doc")), "sketches")
+            sizes = written(rows.groupBy("bucket").agg((F.count("*") > BLOCK * PARTS).alias("huge")), "sizes")
+            whole = rows.withColumn("part", F.lit(0).cast("bigint"))
+            if not sizes.where("huge").isEmpty():
+                rows = written(rows.join(sizes.hint("merge"), "bucket"), "sized")
+                huge = rows.where("huge")
+                wanted = candidate_texts.join(huge.select("doc").distinct().hint("merge"), "doc")
+                split = huge.join(written(_parts(wanted), "parts").hint("merge"), "doc").withColumn("part", F.explode("parts"))
+                whole = rows.where("not huge").withColumn("part", F.lit(0).cast("bigint")).unionByName(split.drop("parts"))
+            rows = whole.join(own, "doc").join(sketches, "doc")
+            pairs = _open_pairs(rows.select("bucket", "part", "doc", "n", "component", "sketch", "buckets"), percent)
+            seen = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            _, more = confirmed(pairs.join(seen, ["a", "b"], "left_anti"))
+            labels = labelled(links.unionByName(more))
     of_rep = reps.join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
     of_rep = of_rep.select("content", F.coalesce("component", "rep").alias("component"))
     result = signed.select("doc", "n_shingles", "content").join(of_rep, "content", "left")
@@ -294,9 +325,10 @@ def _repeats(docs: DataFrame) -> bool:
 def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``docs`` with one row of each component: that of its smallest doc_id (of repeated rows one with the smallest
     text). Rows with a null doc_id stay. All columns stay, under any name."""
-    kept = link_components(docs, percent).where("kept").select(F.col("doc_id").alias("kept_id"))
+    repeats = _repeats(docs)
+    kept = _linked(docs, percent, repeats).where("kept").select(F.col("doc_id").alias("kept_id"))
     names = [f"`{c}`" for c in docs.columns]
-    if _repeats(docs):
+    if repeats:
         order = F.struct("text", *(F.col(n).cast("string") for n in names))
         first = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*names), order).alias("w"))
         docs = first.select("w.*").unionByName(docs.where("doc_id is null"))

@@ -269,7 +269,7 @@ def test_blocks_of_open_pairs(spark, monkeypatch):
     sets = [np.unique(np.concatenate([base[: 300 - k % 60], rng.integers(0, 2**62, k % 60).astype(np.uint64)])) for k in range(90)]
     nibbles = (near_dup.signatures(sets, near_dup.SKETCH) & np.uint32(15)).astype(np.uint64).reshape(len(sets), -1, 16)
     packed = (nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(2, dtype=np.uint64).view(np.int64)
-    rows = spark.createDataFrame([(1, k, 300, k, [int(v) for v in packed[k]], [1]) for k in range(90)], "bucket long, doc long, n long, component long, sketch array<long>, buckets array<long>")
+    rows = spark.createDataFrame([(1, 0, k, 300, k, [int(v) for v in packed[k]], [1]) for k in range(90)], "bucket long, part long, doc long, n long, component long, sketch array<long>, buckets array<long>")
     found = []
     for size in (512, 16):
         monkeypatch.setattr(near_dup, "BLOCK", size)
