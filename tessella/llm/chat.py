@@ -54,33 +54,69 @@ def events_of(conversations: DataFrame) -> DataFrame:
     )
 
 
+#: Events that ``streamed`` makes of one message, and characters of a draft.
+STEPS, DRAFT = 8, 20
+
+
+def streamed(events: DataFrame, trained: str = "assistant") -> DataFrame:
+    """The log as a client would have sent it, of one that has a delta for each message: texts arrive in two parts; a
+    message of ``trained`` is drafted, followed by the beginning of an answer to the draft, and regenerated; any other
+    is drafted and edited. Folding it gives what folding ``events`` gives."""
+    text, role, none = F.col("text"), F.col("role"), F.lit(None).cast("string")
+    half = (F.char_length("text") / 2).cast("int")
+    draft, first, second = F.left(text, F.lit(DRAFT)), F.left(text, half), F.expr("substring(text, cast(char_length(text) / 2 as int) + 1)")
+
+    def step(k: int, event: str, text: Column, role: Column = none, later: int = 0) -> Column:
+        return F.struct(
+            (F.col("seq") * STEPS + k).alias("seq"), (F.col("message") + later).alias("message"),
+            F.lit(event).alias("event"), role.alias("role"), text.alias("text"),
+        )
+
+    made = F.when(
+        role == trained,
+        F.array(
+            step(0, "delta", draft, role), step(1, "delta", draft, F.lit("user"), 1), step(2, "regenerate", F.lit(""), role),
+            step(3, "delta", first), step(4, "delta", second),
+        ),
+    ).otherwise(F.array(step(0, "delta", draft, role), step(1, "edit", first), step(2, "delta", second)))
+    return events.select("conv_id", F.explode(made).alias("e")).select("conv_id", "e.*")
+
+
 def fold_messages(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, message, role, text) of a log (conv_id, seq, message, event, role, text).
 
-    ``delta`` appends to a message, ``edit`` replaces its text, ``regenerate`` starts it anew and discards later
-    messages that were there before it. Unknown or null events change nothing; a null text is empty; the role is
-    that of the message's last event that has one. Events of one sequence number go by event and text. The fold
-    runs on each message by itself, so a long conversation is no single group here.
+    Events apply by seq (null first; of one number by event, text and role). ``delta`` appends to a message, ``edit``
+    replaces its text, ``regenerate`` starts it anew and discards what later messages have had so far: events that come
+    after it begin these messages again. A message without events left isn't there. Unknown or null events change
+    nothing; a null text is empty; the role is that of the last event that counts and has one. A null conv_id is a
+    conversation of its own. Repeated events apply repeatedly.
+
+    The fold runs on each message by itself, and only the last regeneration of each message meets those of its
+    conversation, so a long conversation is no single group of events.
     """
-    at = F.struct("seq", "event", "text")
     known = events.where(F.col("event").isin(*EVENTS)).select(
-        "conv_id", "seq", "message", "event", "role", F.coalesce("text", F.lit("")).alias("text")
+        "conv_id", "message", F.struct("seq", "event", F.coalesce("text", F.lit("")).alias("text"), "role").alias("e")
     )
+    when = F.struct("e.seq", "e.event", "e.text")
     folded = known.groupBy("conv_id", "message").agg(
-        F.array_sort(F.collect_list(at)).alias("log"),
-        F.max(F.when(F.col("event") != "delta", at)).alias("reset"),
-        F.max_by("role", F.when(F.col("role").isNotNull(), at)).alias("role"),
-        F.min("seq").alias("first_seq"),
-        F.max(F.when(F.col("event") == "regenerate", F.col("seq"))).alias("regenerated"),
+        F.array_sort(F.collect_list("e")).alias("log"),
+        F.max(F.when(F.col("e.event") == "regenerate", when)).alias("regenerated"),
     )
-    parts = F.filter("log", lambda e: F.col("reset").isNull() | (e >= F.col("reset")))
     earlier = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
-    kept = folded.withColumn("cut", F.max("regenerated").over(earlier))
-    return kept.where(F.col("cut").isNull() | (F.col("first_seq") > F.col("cut"))).select(
+    cut = folded.withColumn("cut", F.max("regenerated").over(earlier))
+    alive = F.when(F.col("cut").isNull(), F.col("log")).otherwise(
+        F.filter("log", lambda e: F.struct(e["seq"].alias("seq"), e["event"].alias("event"), e["text"].alias("text")) >= F.col("cut"))
+    )
+    live = cut.select("conv_id", "message", alive.alias("log")).where(F.size("log") > 0)
+    resets = F.transform("log", lambda e, k: F.when(e["event"] != "delta", k))
+    live = live.withColumn("from", F.coalesce(F.array_max(resets), F.lit(0)) + 1)
+    live = live.withColumn("parts", F.slice("log", F.col("from"), F.size("log")))
+    roles = F.filter(F.transform("log", lambda e: e["role"]), lambda r: r.isNotNull())
+    return live.select(
         "conv_id",
         "message",
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.array_join(F.transform(parts, lambda e: e["text"]), "").alias("text"),
+        F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"),
+        F.array_join(F.transform("parts", lambda e: e["text"]), "").alias("text"),
     )
 
 
@@ -88,16 +124,18 @@ def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:
     """One row for each conversation: conv_id, formatted, and loss_mask, an array of (start, end) in code points
     of ``formatted``, end exclusive: the escaped texts of ``trained`` turns, in order.
 
-    Offsets are running sums over the conversation; its turns are then put together by message."""
+    A null role or text is empty, a null conv_id a conversation of its own; rows of one message go by role and text;
+    other columns are ignored. Offsets are running sums over the conversation; its turns are then put together."""
+    messages = messages.select("conv_id", "message", *(F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")))
     piece = F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), escape(F.col("text")), F.lit(END))
-    before = Window.partitionBy("conv_id").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("message", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     size = F.char_length("piece")
     placed = messages.select("conv_id", "message", "role", "text", piece.alias("piece")).withColumn(
         "at", F.coalesce(F.sum(size).over(before), F.lit(0))
     )
     end = F.col("at") + size - len(END)
     turn = F.struct(
-        "message",
+        "at",
         "piece",
         F.when(F.col("role") == trained, F.struct((end - F.char_length(escape(F.col("text")))).alias("start"), end.alias("end"))).alias("span"),
     )
@@ -114,7 +152,8 @@ def parse(formatted: DataFrame) -> DataFrame:
     mask, null outside it).
 
     Control strings stand in the output as control only, so splitting at them gives the turns; the mask meets them by
-    offset, each turn being cut by itself and not from the start of a long conversation."""
+    offset, each turn being cut by itself and not from the start of a long conversation. Needs one row for each conv_id
+    (null is one); a null or empty text has no turns and gives no row; other columns are ignored."""
     pieces = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda p: p != "")
     order = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = (

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,16 +13,11 @@ from tessella.llm import secrets as secret_scan
 from tessella.llm.oracle import ORACLE_SQL
 from tessella.llm.common import written
 
-#: Where the public tokenizer files are; TESSELLA_TOKENIZERS names another folder.
 TOKENIZER = "word_bpe_49k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
-    folder = os.environ.get("TESSELLA_TOKENIZERS")
-    if not folder:
-        spec = importlib.util.find_spec("public_tokenizers")
-        folder = os.path.dirname(spec.origin) if spec else "/opt/tokenizers"
-    return os.path.join(folder, name)
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +68,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(said).alias("text"),
     )
-    messages = chat.fold_messages(chat.events_of(rows.unionByName(extra)))
+    messages = chat.fold_messages(chat.streamed(chat.events_of(rows.unionByName(extra))))
     formatted = written(chat.render(messages), "formatted")
     read = chat.parse(formatted)
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -93,7 +87,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))[0].drop("blob")
+    """Two snapshots: a first run over the English documents fills the ledger, and the run over all documents scans what
+    that one hasn't seen and takes the rest from the ledger."""
+    docs = table(spark, sf_dir, "documents")
+    _, ledger = secret_scan.scan_secrets(docs.where("lang = 'en'"))
+    return secret_scan.scan_secrets(docs, ledger)[0].drop("blob")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

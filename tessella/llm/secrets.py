@@ -13,18 +13,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_text, map_arrow, written
+from tessella.llm.common import as_text, map_arrow, owning, written
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # a run of 32 or more is a maximal run
+#: Formats that issuers publish, each with a string that every match has.
 OTHERS = (
-    ("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----"), "-----BEGIN"),
-    ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}"), "gh"),
-    ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), "xox"),
+    ("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"), "-----BEGIN"),
+    ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{60,}"), "gh"),
+    ("gitlab", re.compile(r"glpat-[A-Za-z0-9_-]{20,}"), "glpat-"),
+    ("slack", re.compile(r"xox[abeprs]-[A-Za-z0-9-]{10,}"), "xox"),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), "eyJ"),
+    ("google", re.compile(r"AIza[A-Za-z0-9_-]{35}"), "AIza"),
+    ("stripe", re.compile(r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"), "k_"),
+    ("npm", re.compile(r"npm_[A-Za-z0-9]{36}"), "npm_"),
+    ("pypi", re.compile(r"pypi-[A-Za-z0-9_-]{50,}"), "pypi-"),
+    ("bearer", re.compile(r"[Bb]earer [A-Za-z0-9._~+/-]{20,}=*"), "earer "),
+    ("url", re.compile(r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/@]{3,64}@"), "://"),
 )
 KINDS = ("assign", "access", "hex", *(k for k, *_ in OTHERS))
 RULE_VERSION = hashlib.sha256(
@@ -56,11 +64,15 @@ LEDGER = (
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Ledger rows for the blobs of ``versions`` (columns ``blob`` and ``text``) that ``ledger`` lacks.
 
-    One copy of each blob is kept on the map side already, so that a blob which is a third of all rows moves once
-    for each map task; what is left is partitioned by blob, as the anti-join with the ledger needs it."""
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
+    With a ledger, blob names alone meet it first; of the texts only those of unseen blobs move then. Catalyst brings
+    the names to the texts (broadcast) if their written table is below its threshold, else both are sorted and merged.
+    One copy of each blob is kept on the map side already, so that a blob which is a third of all rows moves once for
+    each map task."""
     if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
+        seen = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob")
+        unseen = written(versions.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
+        versions = versions.join(unseen, "blob", "left_semi")
+    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:
         rows = []
@@ -82,13 +94,14 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[Data
 
     The first frame has one row for each row of ``docs``: doc_id, blob, n_assign, n_access, n_hex, base_sha256,
     spans (``kind:start:end`` by start, comma-joined; code points, end exclusive). A null text is the empty blob;
-    repeated rows share a blob and give repeated rows; other columns are ignored.
+    repeated rows share a blob and give repeated rows; rows that the ledger repeats count once; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     paths = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
-    fresh = written(scan_unseen(paths.select("blob", "text"), ledger), "blobs")
+    with owning():
+        fresh = written(scan_unseen(paths.select("blob", "text"), ledger), "blobs", outlive=True)
     every = fresh
     if ledger is not None:
-        every = fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*fresh.columns))
+        every = fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*fresh.columns).dropDuplicates(["blob"]))
     found = paths.select("doc_id", "blob").join(every.drop("rule_version"), "blob")
     return found.select("doc_id", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"), fresh
