@@ -2,44 +2,60 @@
 
 from __future__ import annotations
 
+import functools
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, decontaminate, line_dedup, near_dup, quality_classifier
-from tessella.llm.common import mark, release, written
+from tessella.llm.common import adopt, owning, release, written
 from tessella.llm.queries import table, tokenizer_path
 
-_marks: list[int] = []
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_running = threading.local()
+
+
+def _stage(stage: Stage) -> Stage:
+    """A stage owns the scratch tables that its result reads. They go when the next stage of this thread begins, whose
+    ``docs`` are that result written and reread; the last stage's go when the interpreter ends. Nothing else is touched."""
 
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if stage is not STAGES[0][1].__wrapped__:
+            release(_running.__dict__.get("made", []))
+        with owning(until_exit=True) as made:
+            out = stage(spark, docs, sf_dir)
+        _running.made = made
+        if stage is STAGES[-1][1].__wrapped__:
+            adopt(made)
+        return out
 
-def _begin() -> None:
-    """Scratch tables of the stage before go: its result is written by now."""
-    if _marks:
-        release(_marks.pop(), mark())
-    _marks.append(mark())
+    return run
 
 
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin()
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin()
     return line_dedup.dedup_lines(docs, short=True)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin()
     return near_dup.keep_first(docs)
 
 
+@_stage
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin()
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    _begin()
     return bpe.encode_documents(docs, tokenizer_path())
 
 
@@ -51,22 +67,13 @@ STAGES = [
     ("bpe encoding", encoding),
 ]
 
-#: SQL expresses neither the classifier nor the encoding; tests hold the stages against brute-force versions.
+#: SQL expresses neither the classifier nor the encoding; tests/llm/test_pipeline.py holds the stages against
+#: brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = _stored(docs, name)
-    return docs
-
-
-def _stored(docs: DataFrame, name: str) -> DataFrame:
-    """The written table isn't scratch of the stage: it stays when the next stage begins."""
-    out = written(docs, name.replace(" ", "_"))
-    if _marks:
-        release(_marks.pop(), mark() - 1)
-    return out
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+    return STAGES[-1][1](spark, docs, sf_dir)

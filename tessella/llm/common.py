@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -66,50 +68,75 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
-_made: list[tuple[SparkSession, str]] = []
 _own: dict[str, str] = {}
+#: Owners of scratch tables, the innermost last. What no call owns goes when the interpreter ends.
+_owners: threading.local = threading.local()
+_rest: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine
+    (tests) gets a temporary folder; a cluster is refused, as its executors would write to their own disks."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="tessella-")
     return _own[app]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and returns the reread table: cuts lineage, survives lost executors."""
+@contextlib.contextmanager
+def owning(until_exit: bool = False) -> Iterator[list]:
+    """Collects the scratch tables that ``written`` makes in this block, in this thread. They are deleted when the block
+    ends, or with ``until_exit`` left to the caller, who passes the list to ``release``."""
+    stack = _owners.__dict__.setdefault("stack", [])
+    made: list = []
+    stack.append(made)
+    try:
+        yield made
+    except BaseException:
+        until_exit = False
+        raise
+    finally:
+        del stack[next(k for k, x in enumerate(stack) if x is made)]
+        if not until_exit:
+            release(made)
+
+
+def written(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and returns the reread table: cuts lineage, survives lost executors.
+
+    The innermost ``owning`` block owns the table; with ``outlive`` the block around that one does."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessella-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    _made.append((spark, path.rpartition("/")[0]))
+    owners = [_rest, *_owners.__dict__.get("stack", [])]
+    owners[-1 - (outlive and len(owners) > 1)].append((spark, path.rpartition("/")[0]))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    return len(_made)
-
-
-def release(since: int = 0, until: int | None = None) -> None:
-    """Deletes scratch tables made between two marks. Only call it once every result that reads them is stored."""
-    for k in range(since, len(_made) if until is None else until):
-        spark, path = _made[k]
-        if not path:
-            continue
+def release(made: list[tuple[SparkSession, str]]) -> None:
+    """Deletes scratch tables. Only call it once every result that reads them is stored."""
+    while made:
+        spark, path = made.pop()
         try:
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the session has ended: the folder stays for the cluster's own cleaning
             pass
-        _made[k] = (spark, "")
 
 
-atexit.register(release)
+def adopt(made: list[tuple[SparkSession, str]]) -> None:
+    """Hands scratch tables to the block around this call, or to the interpreter's end."""
+    (_owners.__dict__.get("stack") or [_rest])[-1].extend(made)
+    made.clear()
+
+
+atexit.register(release, _rest)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -118,12 +145,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates large-star and small-star passes, each a group-by-minimum with map-side combine and a join that
     adaptive execution can split, until the edge set stands still; rounds grow with the logarithm of the diameter.
     """
-    def stored(df: DataFrame) -> tuple[DataFrame, tuple]:
+
+    def stored(df: DataFrame, made: list) -> tuple[DataFrame, tuple, list]:
         seen = Observation()
-        out = written(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
-        return out, (seen.get["n"], seen.get["h"])
+        with owning(until_exit=True) as own:
+            out = written(df.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), "edges")
+        release(made)  # the edges that these came from
+        return out, (seen.get["n"], seen.get["h"]), own
 
-    now, state = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    now, state, made = stored(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), [])
     while True:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -132,9 +162,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        before, (now, state) = state, stored(small)
+        before = state
+        now, state, made = stored(small, made)
         if before == state:
             break
+    adopt(made)
     found = now.groupBy("u").agg(F.min("v").alias("component"))
     return found.select(F.col("u").alias("node"), "component").unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
