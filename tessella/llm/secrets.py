@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_text, map_arrow, owning, written
+from tessella.llm.common import as_text, map_arrow, owning, row_key, written
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I
@@ -62,16 +62,17 @@ LEDGER = (
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Ledger rows for the blobs of ``versions`` (columns ``blob`` and ``text``) that ``ledger`` lacks.
+    """Ledger rows for the blobs of ``versions`` (columns ``row``, ``blob`` and ``text``) that ``ledger`` lacks.
 
-    With a ledger, blob names alone meet it first; of the texts only those of unseen blobs move then. Catalyst brings
-    the names to the texts (broadcast) if their written table is below its threshold, else both are sorted and merged.
-    One copy of each blob is kept on the map side already, so that a blob which is a third of all rows moves once for
-    each map task."""
+    With a ledger, blob names alone meet it first, and each unseen blob is fetched from one row; of the texts only these
+    rows move then. Catalyst brings the rows' keys to the texts (broadcast) if their written table is below its threshold,
+    else both are sorted and merged by row, which spreads the copies of a blob. One copy of each blob is kept on the map
+    side already, so that a blob which is a third of all rows moves once for each map task."""
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob")
-        unseen = written(versions.select("blob").distinct().join(seen, "blob", "left_anti"), "unseen")
-        versions = versions.join(unseen, "blob", "left_semi")
+        one = versions.groupBy("blob").agg(F.min("row").alias("row"))
+        unseen = written(one.join(seen, "blob", "left_anti").select("row"), "unseen")
+        versions = versions.join(unseen, "row", "left_semi")
     blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -97,9 +98,9 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[Data
     repeated rows share a blob and give repeated rows; rows that the ledger repeats count once; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    paths = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"))
+    paths = docs.select("doc_id", F.sha2(text.cast("binary"), 256).alias("blob"), text.alias("text"), row_key("doc_id", "text").alias("row"))
     with owning():
-        fresh = written(scan_unseen(paths.select("blob", "text"), ledger), "blobs", outlive=True)
+        fresh = written(scan_unseen(paths.select("row", "blob", "text"), ledger), "blobs", outlive=True)
     every = fresh
     if ledger is not None:
         every = fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*fresh.columns).dropDuplicates(["blob"]))
