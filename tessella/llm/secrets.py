@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_text, map_arrow, owning, row_key, written
+from tessella.llm.common import as_text, owning, row_key, small_batches, written
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I
@@ -61,32 +62,55 @@ LEDGER = (
 )
 
 
+#: Bits that say which rows' texts are wanted: 2,048 bitmaps of 4 KB, 8 MB at every size of the input.
+BITS = 1 << 26
+
+
+def _wanted(versions: DataFrame, rows: DataFrame) -> DataFrame:
+    """``versions`` whose ``row`` stands in ``rows``, sorted by row within partitions.
+
+    The bits of the wanted rows, a table of fixed size, are broadcast and drop nearly all others before anything moves;
+    a merge join settles the few whose bit is shared."""
+    bit = lambda c: F.pmod(F.col(c), F.lit(BITS)) + 1
+    bits = rows.groupBy(F.bitmap_bucket_number(bit("row")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit("row"))).alias("bits"))
+    at = F.bitmap_bit_position(bit("row")).cast("int")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = versions.withColumn("bucket", F.bitmap_bucket_number(bit("row"))).join(F.broadcast(bits), "bucket").where(F.getbit(byte, F.pmod(at, F.lit(8))) == 1)
+    return near.drop("bucket", "bits").join(rows.hint("merge"), "row", "left_semi").sortWithinPartitions("row")
+
+
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Ledger rows for the blobs of ``versions`` (columns ``row``, ``blob`` and ``text``) that ``ledger`` lacks.
 
-    With a ledger, blob names alone meet it first, and each unseen blob is fetched from one row; of the texts only these
-    rows move then. Catalyst brings the rows' keys to the texts (broadcast) if their written table is below its threshold,
-    else both are sorted and merged by row, which spreads the copies of a blob. One copy of each blob is kept on the map
-    side already, so that a blob which is a third of all rows moves once for each map task."""
+    With a ledger, blob names alone meet it first, and each unseen blob is fetched from one row, whose text moves once;
+    texts of seen blobs, and other copies of unseen ones, stay where they are. Without one, a copy of each blob moves,
+    which is kept on the map side already, so that a blob which is a third of all rows moves once for each map task."""
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob")
         one = versions.groupBy("blob").agg(F.min("row").alias("row"))
-        unseen = written(one.join(seen, "blob", "left_anti").select("row"), "unseen")
-        versions = versions.join(unseen, "row", "left_semi")
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
-
-    def run(batch: pa.RecordBatch) -> dict:
-        rows = []
-        for data in batch.column(1).to_pylist():
-            spans = find_secrets(as_text(data))
-            base = [s for s in spans if s[1] < 3]
-            rows.append((*(sum(s[1] == k for s in base) for k in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
-        out = dict(zip(("n_assign", "n_access", "n_hex", "base_sha256", "spans"), map(list, zip(*rows)))) if rows else {
-            k: [] for k in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")
-        }
-        return out | {"blob": batch.column(0), "rule_version": [RULE_VERSION] * len(rows)}
-
-    return map_arrow(blobs.select("blob", F.col("text").cast("binary")), run, LEDGER)
+        unseen = written(one.join(seen.hint("merge"), "blob", "left_anti").select("row"), "unseen")
+        blobs = _wanted(versions, unseen)
+    else:
+        blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
+
+    names = ("blob", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            rows = []
+            for blob, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if blob == last:  # rows that repeat an id and text stand side by side
+                    continue
+                last, spans = blob, find_secrets(as_text(data))
+                base = [s for s in spans if s[1] < 3]
+                counts = (sum(s[1] == k for s in base) for k in range(3))
+                rows.append((blob, RULE_VERSION, *counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+
+    small_batches(versions.sparkSession)
+    return blobs.select("blob", F.col("text").cast("binary")).mapInArrow(run, LEDGER)
 
 
 def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
