@@ -128,5 +128,5 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None) -> tuple[Data
     every = fresh
     if ledger is not None:
         every = fresh.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select(*fresh.columns).dropDuplicates(["blob"]))
-    found = paths.select("doc_id", "blob").join(every.drop("rule_version"), "blob")
+    found = paths.select("doc_id", "blob").join(every.drop("rule_version").hint("merge"), "blob")
     return found.select("doc_id", "blob", "n_assign", "n_access", "n_hex", "base_sha256", "spans"), fresh
