@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,7 +33,8 @@ ESCAPES = {"n": "\n", "t": "\t", "r": "\r"}
 
 @dataclass
 class Scope:
-    """What names mean: columns, constants, lookup tables, and the columns that ``total(...)`` was worked out as."""
+    """What names mean: columns, constants, lookup tables, the columns that ``total(...)`` was worked out as, and fitted
+    models. A lookup table is a mapping, whose values may be vectors (``ref``), or for ``range_label`` a list of ranges."""
 
     columns: Mapping[str, Column]
     constants: Mapping[str, object] = field(default_factory=dict)
@@ -41,6 +42,7 @@ class Scope:
     totals: Callable[[Column], Column] | None = None
     element: Column | None = None
     accumulator: Column | None = None
+    models: Mapping[str, Mapping] = field(default_factory=dict)
 
 
 def tokens(text: str) -> list[tuple[str, str]]:
@@ -307,7 +309,8 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "keys": F.map_keys, "values": F.map_values, "concat": F.concat, "sort": F.array_sort, "uniq": F.array_distinct,
     "join": lambda v, *sep: F.array_join(v.cast("array<string>"), ""), "trim": F.trim, "lower": F.lower, "upper": F.upper,
     "replace": F.replace, "hasPrefix": F.startswith, "hasSuffix": F.endswith,
-    "toJSON": lambda x: F.to_json(F.struct(x.alias("value"))), "now": F.current_timestamp, "date": F.to_date,
+    "toJSON": lambda x: F.to_json(F.struct(x.alias("value"))),
+    "fromJSON": lambda x: F.from_json(x.cast("string"), "map<string,string>"), "now": F.current_timestamp, "date": F.to_date,
     "weekday": lambda d: F.weekday(d) + 1, "month_index": lambda d: F.year(d) * 12 + F.month(d) - 1,
     "to_day": lambda d: F.unix_date(F.to_date(d)),
     "has_any": F.arrays_overlap, "has_all": lambda a, b: F.size(F.array_except(b, a)) == 0,
@@ -332,14 +335,14 @@ ELEMENTWISE = {"filter": F.filter, "map": F.transform, "all": F.forall, "any": F
 
 def _call(name: str, args: list[tuple], s: Scope) -> Column:
     if name in ELEMENTWISE or name == "count":
-        inner = lambda x: _column(args[1], Scope(s.columns, s.constants, s.lookups, s.totals, x, s.accumulator))
+        inner = lambda x: _column(args[1], replace(s, element=x))
         v = _column(args[0], s)
         return F.size(F.filter(v, inner)) if name == "count" else ELEMENTWISE[name](v, inner)
     if name == "reduce":
-        step = lambda t, x: _column(args[1], Scope(s.columns, s.constants, s.lookups, s.totals, x, t)).cast("double")
+        step = lambda t, x: _column(args[1], replace(s, element=x, accumulator=t)).cast("double")
         return F.aggregate(_column(args[0], s), (_column(args[2], s) if len(args) > 2 else F.lit(0)).cast("double"), step)
-    if name == "lookup":
-        return _lookup(args, s)
+    if name in BOUND:
+        return BOUND[name](args, s)
     if name == "total":
         if s.totals is None:
             raise RequestError("total(...) isn't available here")
@@ -382,6 +385,106 @@ def _lookup(args: list[tuple], s: Scope) -> Column:
     return F.when(key.isNotNull() & got.isNull(), miss.cast("string").cast(_kind(found))).otherwise(got)
 
 
+def _table(args: list[tuple], s: Scope) -> object:
+    name = str(_constant(args[0]) if args[0][0] == "value" else args[0][1])
+    if name not in s.lookups:
+        raise RequestError(f"no lookup table {name!r}")
+    return s.lookups[name]
+
+
+def _range_label(args: list[tuple], s: Scope) -> Column:
+    """``range_label(table, x)``: the label of the range that holds x; null for a null x, the third argument or null where
+    none does. A range is (from, to, label): half open for numbers, both ends in for dates (ISO text); null is no bound."""
+    x, out = _column(args[1], s), None
+    for low, high, label in _table(args, s):
+        dated = isinstance(low, str) or isinstance(high, str)
+        low, high = (None if v is None else F.lit(v).cast("date") if dated else F.lit(v) for v in (low, high))
+        inside = F.lit(True) if low is None else x >= low
+        if high is not None:
+            inside &= x <= high if dated else x < high
+        out = F.when(inside, label) if out is None else out.when(inside, label)
+    other = _column(args[2], s) if len(args) > 2 else F.lit(None).cast("string")
+    return F.when(x.isNotNull(), other if out is None else out.otherwise(other))
+
+
+def _reference(args: list[tuple], s: Scope) -> Column:
+    """``ref(table, key)``: a reference vector; a key that the table lacks is an error, a null key gives null."""
+    found, key = _table(args, s), _column(args[1], s).cast("string")
+    vectors = F.create_map(*(x for k, v in found.items() for x in (F.lit(str(k)), F.array(*(F.lit(float(e)) for e in v)))))
+    miss = F.raise_error(F.concat(F.lit("ref: no key "), key)).cast("array<double>")
+    got = F.try_element_at(vectors, key)
+    return F.when(key.isNotNull(), F.coalesce(got, miss))
+
+
+def _model(args: list[tuple], s: Scope) -> Mapping:
+    name = str(_constant(args[0]) if args[0][0] == "value" else args[0][1])
+    if name not in s.models:
+        raise RequestError(f"no fitted model {name!r}")
+    return s.models[name]
+
+
+def _coefficient(args: list[tuple], s: Scope) -> Column:
+    """``coef(fit, term)``, or with a third argument that statistic of the term: se, t, z, p, lower, upper."""
+    fit, term = _model(args, s), str(_constant(args[1]))
+    if term not in fit["coefficients"]:
+        raise RequestError(f"coef: no term {term!r}; one of {sorted(fit['coefficients'])}")
+    if len(args) < 3 or _constant(args[2]) in ("coef", "estimate"):
+        return F.lit(float(fit["coefficients"][term]))
+    found = fit.get(str(_constant(args[2])))
+    if not isinstance(found, (list, tuple)):
+        raise RequestError(f"coef: the fit has no {_constant(args[2])!r} by term")
+    value = found[list(fit["coefficients"]).index(term)]
+    return F.lit(None if value is None else float(value)).cast("double")
+
+
+def _response(args: list[tuple], s: Scope) -> Column:
+    """``response(fit, channel, spend)``: what a media-mix fit expects of a channel at a steady spend: the channel's
+    coefficient times its saturation curve."""
+    fit, channel = _model(args, s), str(_constant(args[1]))
+    terms = fit["coefficients"]
+    if channel not in terms:
+        raise RequestError(f"response: no channel {channel!r}")
+    steady = _column(args[2], s).cast("double")  # carry-over weights add up to 1
+    if f"{channel}.half" in terms:
+        steady = _hill(steady, F.lit(float(terms[f"{channel}.half"])), F.lit(float(terms[f"{channel}.shape"])))
+    return float(terms[channel]) * steady
+
+
+def _swept(args: list[tuple], s: Scope) -> Column:
+    """``sweep_axis(fit, axis)``: the value at which a sweep found the fit."""
+    at = _model(args, s).get("swept", {})
+    axis = str(_constant(args[1]))
+    if axis not in at:
+        raise RequestError(f"sweep_axis: the fit has no axis {axis!r}")
+    return literal(at[axis])
+
+
+def _result(args: list[tuple], s: Scope) -> Column:
+    """``result(slot, name)``: a number of a finished request of the same batch."""
+    values, name = _model(args, s), str(_constant(args[1]))
+    if name not in values:
+        raise RequestError(f"result: no {name!r}")
+    return literal(values[name])
+
+
+def _duration(args: list[tuple], s: Scope) -> Column:
+    """``duration("1h30m")``: an interval, of hours, minutes, seconds and milliseconds."""
+    text = str(_constant(args[0]))
+    sizes = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 1e-3, "us": 1e-6}
+    found = re.findall(r"(\d+(?:\.\d+)?)(ms|us|h|m|s)", text)
+    if "".join(a + b for a, b in found) != text.lstrip("-") or not found:
+        raise RequestError(f"duration: {text!r} isn't one")
+    seconds = sum(float(n) * sizes[u] for n, u in found) * (-1 if text.startswith("-") else 1)
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds))
+
+
+#: Functions that read what a request binds: tables, fitted models, results.
+BOUND: dict[str, Callable[[list[tuple], Scope], Column]] = {
+    "lookup": _lookup, "range_label": _range_label, "ref": _reference, "coef": _coefficient, "response": _response,
+    "sweep_axis": _swept, "result": _result, "duration": _duration,
+}
+
+
 def _kind(found: Mapping) -> str:
     values = [*found.values()]
     if all(isinstance(v, bool) for v in values):

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.errors import RequestError
 from tessella.functions.dist import normal_quantile
+from tessella.functions.quantiles import exact_quantiles, same, with_keys
+from tessella.functions.running import running_totals
 from tessella.operators.slots import Registry, Slot, clean, column, is_decimal, kind, number, valid_weight
 
 AGGREGATES = Registry("aggregation")
@@ -196,27 +198,21 @@ def mape(df: DataFrame, slot: Slot) -> Column:
     return F.avg(F.when(y != 0, F.abs(e) / F.abs(y)))
 
 
-def _quantile(df: DataFrame, slot: Slot, p: float) -> Column:
-    """Exact, by linear interpolation; of ordered levels the first whose share reaches p. Frequency weights repeat rows."""
-    if slot.get("ordered"):
-        return _named(F.expr(f"percentile_disc({p}) within group (order by _level_{slot.field})"), slot)
-    x = number(df, slot)
-    return F.percentile(x, p) if not slot.weight else F.percentile(x, p, valid_weight(df, slot.weight).cast("bigint"))
-
+def _share(slot: Slot) -> float:
+    p = 0.5 if slot.type == "AGG_MEDIAN" else float(slot.need("percentile")) / 100
+    if not 0 <= p <= 1:
+        raise RequestError("AGG_PERCENTILE: percentile must be from 0 to 100")
+    return p
 
 
+def ordered_quantile(df: DataFrame, slot: Slot) -> Column:
+    """The first of the listed levels whose share reaches p; what a group holds is a count for each level."""
+    return _named(F.expr(f"percentile_disc({_share(slot)}) within group (order by _level_{slot.field})"), slot)
 
-@AGGREGATES.add("AGG_MEDIAN")
-def median(df: DataFrame, slot: Slot) -> Column:
-    return _quantile(df, slot, 0.5)
 
-
-@AGGREGATES.add("AGG_PERCENTILE")
-def percentile(df: DataFrame, slot: Slot) -> Column:
-    p = float(slot.need("percentile")) / 100
-    if not 0 <= p <= 1:
-        raise RequestError("AGG_PERCENTILE: percentile must be from 0 to 100")
-    return _quantile(df, slot, p)
+def windowed_quantile(df: DataFrame, slot: Slot) -> Column:
+    """For event-time windows of a stream, which can't be read twice: exact, with the window's distinct values as state."""
+    return ordered_quantile(df, slot) if slot.get("ordered") else F.percentile(number(df, slot), _share(slot))
 
 
 # ---- sets
@@ -314,14 +310,9 @@ def auc(df: DataFrame, keys: list[str], slot: Slot) -> DataFrame:
     """Rank sum over counts by score; ties count one half. Null unless both outcomes occur."""
     x, y = number(df, slot), F.col(f"`{slot.need('outcome')}`")
     hit = (y == F.lit(slot.get("positive", 1))).cast("int")
-    counts = df.where(x.isNotNull() & y.isNotNull()).groupBy(*keys, x.alias("_x")).agg(F.sum(hit).alias("_p"), F.sum(1 - hit).alias("_q"))
-    order = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    if not keys:
-        from tessella.functions.running import running_totals
-
-        placed = running_totals(counts, "_x", {"_below": F.col("_q")})
-    else:
-        placed = counts.withColumn("_below", F.coalesce(F.sum("_q").over(order), F.lit(0)))
+    rows = df.where(x.isNotNull() & y.isNotNull()).select(*keys, (x + 0.0).alias("_x"), hit.alias("_hit"))
+    counts = rows.groupBy(*keys, "_x").agg(F.sum("_hit").alias("_p"), F.sum(1 - F.col("_hit")).alias("_q"))
+    placed = running_totals(counts, "_x", {"_below": F.col("_q")}, keys, rows)
     wins = F.sum(F.col("_p") * (F.col("_below") + F.col("_q") / 2))
     return placed.groupBy(*keys).agg(F.try_divide(wins, F.sum("_p") * F.sum("_q")).alias(slot.name()))
 
@@ -334,16 +325,37 @@ def zscore(df: DataFrame, keys: list[str], slot: Slot) -> DataFrame:
     return df.groupBy(*keys).agg(F.try_divide(last - F.avg(x), F.stddev_pop(x)).alias(slot.name()))
 
 
+@STAGES.add("AGG_MEDIAN")
+@STAGES.add("AGG_PERCENTILE")
+def quantile(df: DataFrame, keys: list[str], slot: Slot) -> DataFrame:
+    """Exact, by linear interpolation; of ordered levels the first whose share reaches p. Weights repeat rows: the place
+    (n - 1) p counts whole weights."""
+    if slot.get("ordered"):
+        return df.groupBy(*keys).agg(ordered_quantile(df, slot).alias(slot.name()))
+    x, p = number(df, slot), _share(slot)
+    if not slot.weight:
+        return exact_quantiles(df, keys, x, {slot.name(): p})
+    w = valid_weight(df, slot.weight).cast("bigint")
+    rows = df.where(x.isNotNull() & (w > 0)).select(*keys, (x + 0.0).alias("_x"), w.alias("_w"))
+    counts = rows.groupBy(*keys, "_x").agg(F.sum("_w").alias("_n"))
+    placed = running_totals(counts, "_x", {"_before": F.col("_n")}, keys, rows)
+    placed = with_keys(placed, rows.groupBy(*keys).agg(F.sum("_w").alias("_all")), keys)
+    place, upto = (F.col("_all") - 1) * p, F.col("_before") + F.col("_n")
+    low, high = (F.min(F.when(upto > at, F.col("_x"))) for at in (F.floor(place), F.ceil(place)))
+    share = F.first(place - F.floor(place))
+    return placed.groupBy(*keys).agg(((1 - share) * low + share * high).alias(slot.name()))
+
+
 @STAGES.add("AGG_QUANTILE_WEIGHTED")
 def weighted_quantile(df: DataFrame, keys: list[str], slot: Slot) -> DataFrame:
     """Quantile under probability weights: weights are rescaled to the number of rows n, and the value at place
     1 + (n - 1) p of the running weights is interpolated, as unweighted quantiles are."""
     x, w, p = number(df, slot), valid_weight(df, slot.weight or slot.need("weight_field")), float(slot.need("percentile")) / 100
-    rows = df.where(x.isNotNull() & w.isNotNull()).groupBy(*keys, x.alias("_x")).agg(F.sum(w).alias("_w"), F.count("*").alias("_n"))
-    whole = rows.groupBy(*keys).agg(F.sum("_w").alias("_tw"), F.sum("_n").alias("_tn"))
-    joined = (rows.join(whole, keys) if keys else rows.join(F.broadcast(whole))).withColumn("_s", F.col("_w") * F.col("_tn") / F.col("_tw"))
-    upto = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    placed = joined.withColumn("_c", F.round(F.sum("_s").over(upto), 9))
+    each = df.where(x.isNotNull() & w.isNotNull()).select(*keys, (x + 0.0).alias("_x"), w.alias("_w"))
+    rows = each.groupBy(*keys, "_x").agg(F.sum("_w").alias("_w"))
+    whole = each.groupBy(*keys).agg(F.sum("_w").alias("_tw"), F.count("*").alias("_tn"))
+    placed = with_keys(running_totals(rows, "_x", {"_before": F.col("_w")}, keys, each), whole, keys)
+    placed = placed.withColumn("_c", F.round((F.col("_before") + F.col("_w")) * F.col("_tn") / F.col("_tw"), 9))
     at = 1 + (F.col("_tn") - 1) * p
     low = F.min(F.when(F.col("_c") >= F.floor(at), F.col("_x")))
     high = F.min(F.when(F.col("_c") >= F.least(F.floor(at) + 1, F.col("_tn")), F.col("_x")))
@@ -351,6 +363,23 @@ def weighted_quantile(df: DataFrame, keys: list[str], slot: Slot) -> DataFrame:
     return placed.groupBy(*keys).agg((low + share * (high - low)).alias(slot.name()))
 
 
+#: Measures that follow from sums over parts: state columns with how they merge, and the measure from merged states.
+def states(df: DataFrame, slot: Slot) -> tuple[dict[str, tuple[Column, Callable]], Callable[[dict[str, Column]], Column]] | None:
+    """None for a measure that does not merge this way."""
+    if slot.type in ("AGG_COUNT", "AGG_SUM"):
+        return {"a": (AGGREGATES.find(slot.type)(df, slot), F.sum)}, lambda s: s["a"]
+    if slot.type in ("AGG_MIN", "AGG_MAX") and not slot.get("ordered"):
+        return {"a": (AGGREGATES.find(slot.type)(df, slot), F.min if slot.type == "AGG_MIN" else F.max)}, lambda s: s["a"]
+    if slot.type == "AGG_RANGE":
+        x = number(df, slot)
+        return {"a": (F.min(x), F.min), "b": (F.max(x), F.max)}, lambda s: s["b"] - s["a"]
+    if slot.type == "AGG_AVERAGE" and not is_decimal(df, slot):
+        x, w = number(df, slot), _w(df, slot)
+        parts = (F.sum(x), F.count(x)) if w is None else (F.sum(x * w), F.sum(F.when(x.isNotNull(), w)))
+        return {"a": (parts[0], F.sum), "b": (parts[1], F.sum)}, lambda s: clean(F.try_divide(s["a"], s["b"]))
+    return None
+
+
 def with_levels(df: DataFrame, slots: list[Slot]) -> DataFrame:
     """Adds the level ranks that ordered quantiles sort by."""
     for slot in slots:
@@ -373,11 +402,7 @@ def aggregate(df: DataFrame, keys: list[str], slots: list[Slot]) -> DataFrame:
     for slot in staged:
         part = STAGES.find(slot.type)(df, keys, slot)
         if keys:
-            on = [F.col(f"_a.`{k}`").eqNullSafe(F.col(f"_b.`{k}`")) for k in keys]
-            match = on[0]
-            for c in on[1:]:
-                match = match & c
-            out = out.alias("_a").join(part.alias("_b"), match, "left").select("_a.*", F.col(f"_b.`{slot.name()}`"))
+            out = out.alias("_a").join(part.alias("_b"), same("_a", "_b", keys), "left").select("_a.*", F.col(f"_b.`{slot.name()}`"))
         else:
-            out = out.join(F.broadcast(part))
+            out = out.join(F.broadcast(part), how="left")
     return out.select(*(F.col(f"`{k}`") for k in keys), *(F.col(f"`{n}`") for n in names))

@@ -6,14 +6,16 @@ that don't read each other share one aggregate (a layer).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tessella.errors import RequestError
-from tessella.functions.dist import chisq_tail
 from tessella.functions.running import running_totals
 from tessella.operators.filters import FILTERS
 from tessella.operators.slots import Registry, Slot, check, column, expression, kind, local_time, number
@@ -135,7 +137,7 @@ def _set_similarity(df: DataFrame, slot: Slot) -> Column:
 
 @ROWS.add("ATTR_FORMULA")
 def attr_formula(df: DataFrame, slot: Slot) -> Column:
-    return expression(df, slot.need("expression"), slot.get("constants"), slot.get("lookups")).cast("double")
+    return expression(df, slot.need("expression"), slot.get("constants"), slot.get("lookups"), None, slot.get("models")).cast("double")
 
 
 # ---- layered
@@ -172,9 +174,10 @@ def percentile_rank(df: DataFrame, slot: Slot) -> DataFrame:
     """rank / n * 100, in (0, 100]. Ties rank by ``tie`` (a unique column) where it is given, else they share their last
     rank. Counts by value add up in ranges; only rows that tie are numbered, within their value."""
     x = number(df, slot)
-    counts = df.where(_present(x)).groupBy(x.alias("_x")).agg(F.count("*").alias("_n"))
-    placed = running_totals(counts, "_x", {"_before": F.col("_n")})
-    total = counts.agg(F.sum("_n").alias("_all"))
+    rows = df.where(_present(x)).select((x + 0.0).alias("_x"))  # -0.0 and 0.0 are one value
+    counts = rows.groupBy("_x").agg(F.count("*").alias("_n"))
+    placed = running_totals(counts, "_x", {"_before": F.col("_n")}, like=rows)
+    total = rows.agg(F.count("*").alias("_all"))
     ranks = placed.join(F.broadcast(total)).select("_x", "_before", "_n", "_all")
     joined = df.join(ranks, x == F.col("_x"), "left")
     within = F.col("_n")
@@ -227,6 +230,29 @@ def _inverse(cov: np.ndarray, slot: Slot) -> np.ndarray:
     return np.linalg.inv(cov)
 
 
+def chisq_tail_column(x: Column, k: int) -> Column:
+    """The upper tail of a chi-square with a whole number of degrees of freedom, as its finite sum. For odd k the sum
+    begins with a two-sided normal tail, which is a vectorised function."""
+    half = F.greatest(x, F.lit(0.0)) / 2
+    if k % 2 == 0:
+        term = out = F.lit(1.0)
+        for i in range(1, k // 2):
+            term = term * half / i
+            out = out + term
+        return F.exp(-half) * out
+    out, term = _normal_tail(F.sqrt(2 * half)), F.sqrt(2 * half) * math.sqrt(2 / math.pi)
+    for i in range(1, k - 1, 2):
+        out = out + F.exp(-half) * term
+        term = term * 2 * half / (i + 2)
+    return out
+
+
+@F.pandas_udf(DoubleType())
+def _normal_tail(z: pd.Series) -> pd.Series:
+    tail = np.frompyfunc(lambda v: math.erfc(abs(v) / math.sqrt(2)), 1, 1)
+    return pd.Series(tail(z.to_numpy(float)).astype(float) if len(z) else [], dtype="float64")
+
+
 @TABLES.add("ATTR_MAHALANOBIS")
 def mahalanobis(df: DataFrame, slot: Slot) -> DataFrame:
     """D² from the mean and covariance of the complete rows (of ``fit_on``), or its chi-square p by ``output`` "p"."""
@@ -234,8 +260,7 @@ def mahalanobis(df: DataFrame, slot: Slot) -> DataFrame:
     _, centre, cov = moments(df, cols, _fit_rows(df, slot))
     d2 = F.when(complete(cols), quadratic(cols, centre, _inverse(cov, slot)))
     if slot.get("output") == "p":
-        tail = F.udf(lambda x: None if x is None else chisq_tail(x, len(cols)), "double", useArrow=True)
-        d2 = tail(d2)
+        d2 = F.when(complete(cols), chisq_tail_column(d2, len(cols)))
     return df.withColumn(slot.name(), d2)
 
 
@@ -385,6 +410,6 @@ def _with_totals(df: DataFrame, slot: Slot) -> DataFrame:
         seen.append(c)
         return F.col(f"_total{len(seen) - 1}")
 
-    value = expression(df, slot.get("expression"), slot.get("constants"), slot.get("lookups"), held).cast("double")
+    value = expression(df, slot.get("expression"), slot.get("constants"), slot.get("lookups"), held, slot.get("models")).cast("double")
     totals = df.agg(*(F.sum(c).alias(f"_total{k}") for k, c in enumerate(seen)))
     return df.join(F.broadcast(totals)).withColumn(slot.name(), value).drop(*totals.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,12 +12,15 @@ from tessella.errors import RequestError
 from tessella.functions.expressions import FUNCTIONS
 from tessella.operators.aggregates import AGGREGATES
 from tessella.operators.attributes import ROWS
+from tessella.operators.features import FEATURES
 from tessella.operators.filters import FILTERS
 from tessella.operators.groupers import GROUPERS, _with
+from tessella.operators.matrices import MATRICES
 from tessella.operators.overlays import OVERLAYS
 from tessella.operators.slots import Registry, Slot, column, number
 from tessella.operators.tests import TESTS
 from tessella.operators.windows import RECURSIONS
+from tessella.plans.batch import POST_FITS
 
 
 def _new(registry: Registry, name: str) -> None:
@@ -39,6 +42,25 @@ def add_attribute(name: str, f: Callable[[pd.Series], pd.Series], returns: str =
     ROWS[name] = lambda df, slot: run(column(df, slot))
 
 
+def add_feature(name: str, make: Callable[[DataFrame, Slot], DataFrame]) -> None:
+    """Columns of the raw table, before any filter: ``make`` returns the table with them."""
+    _new(FEATURES, name)
+    FEATURES[name] = make
+
+
+def add_matrix(name: str, f: Callable[[DataFrame, Slot], dict]) -> None:
+    """A figure from sums over the rows of several members."""
+    _new(MATRICES, name)
+    MATRICES[name] = f
+
+
+def add_post_fit(name: str, f: Callable[[Mapping[str, Mapping], Mapping], Mapping]) -> None:
+    """A computation over finished fits, by name, and its parameters; see ``plans.batch.post_fit``."""
+    if name in POST_FITS:
+        raise RequestError(f"post-fit operator {name!r} is there already")
+    POST_FITS[name] = f
+
+
 def add_filter(name: str, make: Callable[[DataFrame, Slot], Column]) -> None:
     _new(FILTERS, name)
     FILTERS[name] = make

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType
+from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
 
 from tessella.errors import RequestError
+from tessella.functions.quantiles import exact_quantiles
+from tessella.functions.running import running_totals
 from tessella.operators.filters import FILTERS
 from tessella.operators.slots import Registry, Slot, column, kind, local_time, number
 
@@ -47,9 +49,9 @@ def bucketize(df: DataFrame, slot: Slot) -> DataFrame:
         index = sum(((x > float(b)).cast("int") for b in bounds), F.lit(0))
         return df.withColumn(label, F.when(x.isNotNull() & ~F.isnan(x), index.cast("double")))
     n = int(slot.need("quantiles"))
-    cuts = df.agg(F.percentile(x, F.array(*(F.lit(k / n) for k in range(1, n)))).alias("_cuts"))
+    cuts = exact_quantiles(df, [], x, {f"_c{k}": k / n for k in range(1, n)}).select(F.array(*(f"_c{k}" for k in range(1, n))).alias("_cuts"))
     index = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < x))
-    return df.join(F.broadcast(cuts)).withColumn(label, F.when(x.isNotNull(), index.cast("double"))).drop("_cuts")
+    return df.join(F.broadcast(cuts), how="left").withColumn(label, F.when(x.isNotNull(), index.cast("double"))).drop("_cuts")
 
 
 @FEATURES.add("FEAT_DATE_FEATURES")
@@ -124,11 +126,20 @@ def split(df: DataFrame, slot: Slot) -> DataFrame:
     part = lambda u: F.when(u < ratios[0], 0).when(u < ratios[0] + ratios[1], 1).otherwise(2)
     if slot.get("mode") == "temporal":
         by = slot.need("order_by")
-        counts = df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("_v")).agg(F.count("*").alias("_n"))
-        # One row for each distinct time; the window holds counts, not rows.
-        seen = counts.select("_v", (F.sum("_n").over(Window.orderBy("_v")) / F.sum("_n").over(Window.partitionBy())).alias("_u"))
-        cut = F.col("_u") - 1e-12
-        return df.join(seen, F.col(by) == F.col("_v"), "left").withColumn(label, F.when(F.col("_u").isNotNull(), part(cut))).drop("_v", "_u")
+        of = kind(df, by)
+        t = F.col(f"`{by}`")
+        t = F.unix_date(t) if isinstance(of, DateType) else F.unix_micros(t.cast("timestamp")) if isinstance(of, (TimestampType, TimestampNTZType)) else t
+        # Two values of the order bound the parts: those at which the running share of rows reaches them.
+        values = df.where(t.isNotNull()).select(t.alias("_v"))
+        counts = values.groupBy("_v").agg(F.count("*").alias("_n"))
+        seen = running_totals(counts, "_v", {"_before": F.col("_n")}, like=values).withColumn("_upto", F.col("_before") + F.col("_n"))
+        total = values.agg(F.count("*").alias("_all"))
+        share = F.col("_upto") / F.col("_all") - 1e-12
+        ends = seen.join(F.broadcast(total)).agg(
+            F.max(F.when(share < ratios[0], F.col("_v"))).alias("_a"), F.max(F.when(share < ratios[0] + ratios[1], F.col("_v"))).alias("_b")
+        )
+        which = F.when(t <= F.col("_a"), 0).when(t <= F.col("_b"), 1).otherwise(2)
+        return df.join(F.broadcast(ends)).withColumn(label, F.when(t.isNotNull(), which)).drop("_a", "_b")
     keys = [F.col(f"`{k}`") for k in [slot.need("key"), *([slot.get("stratify")] if slot.get("stratify") else [])]]
     u = F.pmod(F.xxhash64(F.lit(int(slot.get("seed", 0))), *keys), F.lit(1 << 40)) / float(1 << 40)
     return df.withColumn(label, part(u))

@@ -52,7 +52,7 @@ def null_state(df: DataFrame, slot: Slot) -> Column:
 
 @FILTERS.add("FILTER_EXPRESSION")
 def by_expression(df: DataFrame, slot: Slot) -> Column:
-    return expression(df, slot.need("expression"), slot.get("constants"), slot.get("lookups"))
+    return expression(df, slot.need("expression"), slot.get("constants"), slot.get("lookups"), None, slot.get("models"))
 
 
 def _truthy(df: DataFrame, slot: Slot) -> Column:

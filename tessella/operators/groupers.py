@@ -146,9 +146,10 @@ def quantile(df: DataFrame, slot: Slot) -> Keyed:
 
     x, n = number(df, slot), int(slot.get("interval", 4))
     rows = df.where(x.isNotNull() & ~F.isnan(x))
-    counts = rows.groupBy(x.alias("_x")).agg(F.count("*").alias("_n"))
-    placed = running_totals(counts, "_x", {"_before": F.col("_n")})
-    total = counts.agg(F.sum("_n").alias("_total"))
+    values = rows.select((x + 0.0).alias("_x"))
+    counts = values.groupBy("_x").agg(F.count("*").alias("_n"))
+    placed = running_totals(counts, "_x", {"_before": F.col("_n")}, like=values)
+    total = values.agg(F.count("*").alias("_total"))
     bucket = F.floor(F.col("_before") * n / F.col("_total")).cast("int")
     by_value = placed.join(F.broadcast(total)).select("_x", bucket.alias("_bucket"))
     joined = rows.join(by_value, x == F.col("_x")).drop("_x")

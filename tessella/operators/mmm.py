@@ -121,6 +121,73 @@ def hmc(log_density: Callable[[np.ndarray], float], start: np.ndarray, draws: in
     return np.array(out), accepted
 
 
+def nuts(log_density: Callable[[np.ndarray], float], start: np.ndarray, draws: int, warmup: int, seed: int, depth: int = 8, gradient: Callable | None = None) -> tuple[np.ndarray, float]:
+    """The No-U-Turn sampler with multinomial choice along the trajectory, dual averaging of the step size and a diagonal
+    metric from the warm-up; also the mean chance of acceptance."""
+    rng, dim = np.random.default_rng(seed), len(start)
+    rough = lambda q: np.array([(log_density(q + 1e-5 * e) - log_density(q - 1e-5 * e)) / 2e-5 for e in np.eye(dim)])
+    slope, metric = gradient or rough, np.ones(dim)
+    energy = lambda q, p: log_density(q) - 0.5 * (metric * p * p).sum()
+
+    def turned(a: tuple, b: tuple) -> bool:
+        way = b[0] - a[0]
+        return way @ (metric * a[1]) < 0 or way @ (metric * b[1]) < 0
+
+    def tree(end: tuple, eps: float, level: int, base: float) -> tuple:
+        """From an end point on: both ends, a point chosen by weight, log of the weights' sum, whether it goes on, chances
+        and their number."""
+        if level == 0:
+            q, p = end
+            p = p + eps / 2 * slope(q)
+            q = q + eps * metric * p
+            p = p + eps / 2 * slope(q)
+            weight = energy(q, p) - base
+            weight = weight if np.isfinite(weight) else -math.inf
+            return (q, p), (q, p), q, weight, weight > -1000, math.exp(min(0.0, weight)), 1
+        near, far, point, weight, fine, chance, count = tree(end, eps, level - 1, base)
+        if fine:
+            _, further, other, more, good, c, k = tree(far, eps, level - 1, base)
+            total = np.logaddexp(weight, more)
+            if math.log(rng.random()) < more - total:
+                point = other
+            first, last = (near, further) if eps > 0 else (further, near)
+            far, weight, fine, chance, count = further, total, good and not turned(first, last), chance + c, count + k
+        return near, far, point, weight, fine, chance, count
+
+    q, out, seen, accepted = start.astype(float).copy(), [], [], 0.0
+    log_eps, mean_log, total, mu = math.log(0.1), 0.0, 0.0, math.log(1.0)
+    for t in range(1, warmup + draws + 1):
+        eps = math.exp(log_eps if t <= warmup else mean_log)
+        p = rng.standard_normal(dim) / np.sqrt(metric)
+        base, low, high, weight = energy(q, p), (q, p), (q, p), 0.0
+        chances, count = 0.0, 0
+        for level in range(depth):
+            ahead = rng.random() < 0.5
+            _, far, point, more, fine, c, k = tree(high if ahead else low, eps if ahead else -eps, level, base)
+            chances, count = chances + c, count + k
+            if not fine:
+                break
+            if math.log(rng.random()) < more - weight:
+                q = point
+            low, high = (low, far) if ahead else (far, high)
+            weight = np.logaddexp(weight, more)
+            if turned(low, high):
+                break
+        chance = chances / max(1, count)
+        if t <= warmup:
+            total += (0.8 - chance - total) / (t + 10)
+            log_eps = mu - math.sqrt(t) / 0.05 * total
+            mean_log += (log_eps - mean_log) * t**-0.75
+            seen.append(q)
+            if t == warmup // 2:
+                metric = np.var(np.array(seen[len(seen) // 2 :]), axis=0) + 1e-6
+                total, mean_log, mu = 0.0, log_eps, math.log(10) + log_eps
+        else:
+            out.append(q)
+            accepted += chance / draws
+    return np.array(out), accepted
+
+
 def diagnose(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Split R-hat and effective sample sizes by initial monotone autocorrelations."""
     halves = [h for c in chains for h in (c[: len(c) // 2], c[len(c) // 2 : 2 * (len(c) // 2)])]

@@ -321,8 +321,17 @@ def ordinal(df: DataFrame, slot: Slot) -> dict:
     target, x, names = _fields(df, slot)
     y = target.cast("string")
     rows = df.where(complete(x) & y.isNotNull())
-    levels = list(slot.get("levels") or sorted(r[0] for r in rows.select(y).distinct().limit(51).collect()))
-    rows = rows.where(y.isin(*levels))
+    most = int(slot.get("max_levels", 50))
+    found = sorted(r[0] for r in rows.select(y).distinct().limit(most + 1).collect())
+    if len(found) > most:
+        raise RequestError(f"REG_ORDINAL: more than {most} levels")
+    levels = list(slot.get("levels") or found)
+    if unknown := sorted(set(found) - set(levels)):
+        raise RequestError(f"REG_ORDINAL: rows have levels that aren't listed: {unknown}")
+    if absent := [v for v in levels if v not in found]:
+        raise RequestError(f"REG_ORDINAL: no rows have the levels {absent}")
+    if len(levels) < 2:
+        raise RequestError("REG_ORDINAL: two levels at least are needed")
     k, p = len(levels) - 1, len(x)
     counts = dict(map(tuple, rows.groupBy(y).count().collect()))
     cum = np.cumsum([counts.get(v, 0) for v in levels])[:-1] / sum(counts.values())

@@ -117,9 +117,9 @@ def valid_weight(df: DataFrame, name: str) -> Column:
     return F.when((w > 0) & ~F.isnan(w) & (w < float("inf")), w)
 
 
-def expression(df: DataFrame, text: str, constants: Mapping | None = None, lookups: Mapping | None = None, totals=None) -> Column:
+def expression(df: DataFrame, text: str, constants: Mapping | None = None, lookups: Mapping | None = None, totals=None, models: Mapping | None = None) -> Column:
     columns = {c: F.col(f"`{c}`") for c in df.columns}
-    return compile_expression(text, Scope(columns, constants or {}, lookups or {}, totals))
+    return compile_expression(text, Scope(columns, constants or {}, lookups or {}, totals, models=models or {}))
 
 
 def clean(c: Column) -> Column:

@@ -9,16 +9,21 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from statistics import NormalDist
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, DoubleType, StructField, StructType, TimestampNTZType, TimestampType
 
 from tessella.errors import RequestError
 from tessella.functions import dist
+from tessella.functions.concordance import net_concordance
+from tessella.functions.quantiles import exact_quantiles, with_keys
 from tessella.functions.running import mid_ranks, running_totals
 from tessella.operators.attributes import complete, members, moments
-from tessella.operators.slots import Registry, Slot, number
+from tessella.operators.slots import Registry, Slot, kind, number
 
 TESTS = Registry("test")
 
@@ -170,8 +175,8 @@ def anova_rm(df: DataFrame, slot: Slot) -> dict:
 @TESTS.add("TEST_BROWN_FORSYTHE")
 def brown_forsythe(df: DataFrame, slot: Slot) -> dict:
     x, by = number(df, slot), _by(slot)
-    centre = df.where(x.isNotNull()).groupBy(by.alias("_g")).agg(F.percentile(x, 0.5).alias("_m"))
-    far = df.where(x.isNotNull()).join(centre, by == F.col("_g")).select(F.col("_g").alias("g"), F.abs(x - F.col("_m")).alias("d"))
+    rows = df.where(x.isNotNull() & by.isNotNull()).select(by.alias("g"), x.alias("x"))
+    far = with_keys(rows, exact_quantiles(rows, ["g"], F.col("x"), {"m": 0.5}), ["g"]).select("g", F.abs(F.col("x") - F.col("m")).alias("d"))
     got = group_moments(far, Slot(slot.type, "d", None, {"split_by": "g"}))
     return anova_of([(n, m, v) for _, n, m, v in got])
 
@@ -256,55 +261,29 @@ def spearman(df: DataFrame, slot: Slot) -> dict:
     return _correlation(*ranked.agg(F.count("*"), F.corr("rx", "ry")).first())
 
 
+def _tie_sums(counts: DataFrame, axis: str) -> list[float]:
+    """Over the values of an axis and how many rows each has, t: sums of t(t-1), t(t-1)(t-2) and t(t-1)(2t+5)."""
+    t = F.col("t")
+    ties = counts.groupBy(axis).agg(F.sum("n").cast("double").alias("t"))
+    return [float(v or 0.0) for v in ties.agg(F.sum(t * (t - 1)), F.sum(t * (t - 1) * (t - 2)), F.sum(t * (t - 1) * (2 * t + 5))).first()]
+
+
 @TESTS.add("TEST_KENDALL_TAU")
 def kendall(df: DataFrame, slot: Slot) -> dict:
-    """tau-b with the tie-corrected normal p. Pairs are counted over distinct values by binning both axes in ``cells``
-    value ranges when there are more: counts between ranges are products of sums, counts within a range are exact."""
+    """tau-b with the tie-corrected normal p. Pairs are counted over distinct values, by ranges of both axes
+    (``functions/concordance.py``), at any size."""
     x, y = number(df, slot), number(df, Slot(slot.type, slot.need("field2")))
-    counts = df.where(x.isNotNull() & y.isNotNull()).groupBy(x.alias("x"), y.alias("y")).agg(F.count("*").alias("n"))
-    most = int(slot.get("max_pairs", 2_000_000))
-    got = counts.limit(most + 1).toPandas()
-    if len(got) > most:
-        raise RequestError(f"TEST_KENDALL_TAU: more than {most} distinct pairs")
-    xs, ys, w = got["x"].to_numpy(), got["y"].to_numpy(), got["n"].to_numpy().astype(float)
-    n = w.sum()
-    order = np.lexsort((ys, xs))
-    xs, yr, w = xs[order], np.unique(ys[order], return_inverse=True)[1], w[order]
-    tree = np.zeros(yr.max() + 2 if len(yr) else 1)
-    concordant = discordant = 0.0
-
-    def upto(i: int) -> float:
-        s = 0.0
-        while i > 0:
-            s += tree[i]
-            i -= i & -i
-        return s
-
-    seen, k = 0.0, 0
-    while k < len(xs):
-        end = k
-        while end < len(xs) and xs[end] == xs[k]:
-            end += 1
-        for i in range(k, end):
-            below, at = upto(int(yr[i])), upto(int(yr[i]) + 1)
-            concordant += w[i] * below
-            discordant += w[i] * (seen - at)
-        for i in range(k, end):
-            j = int(yr[i]) + 1
-            while j < len(tree):
-                tree[j] += w[i]
-                j += j & -j
-            seen += w[i]
-        k = end
-    tx, ty = (np.bincount(np.unique(v, return_inverse=True)[1], w) for v in (xs, yr))
-    pairs = n * (n - 1) / 2
-    a, b = (tx * (tx - 1) / 2).sum(), (ty * (ty - 1) / 2).sum()
-    s = concordant - discordant
-    tau = s / math.sqrt((pairs - a) * (pairs - b))
-    v0, vt, vu = n * (n - 1) * (2 * n + 5), (tx * (tx - 1) * (2 * tx + 5)).sum(), (ty * (ty - 1) * (2 * ty + 5)).sum()
-    v1 = (tx * (tx - 1)).sum() * (ty * (ty - 1)).sum() / (2 * n * (n - 1))
-    v2 = (tx * (tx - 1) * (tx - 2)).sum() * (ty * (ty - 1) * (ty - 2)).sum() / (9 * n * (n - 1) * (n - 2)) if n > 2 else 0
-    z = s / math.sqrt((v0 - vt - vu) / 18 + v1 + v2)
+    counts = df.where(x.isNotNull() & y.isNotNull()).groupBy((x + 0.0).alias("x"), (y + 0.0).alias("y")).agg(F.count("*").alias("n"))
+    n = float(counts.agg(F.sum("n")).first()[0] or 0)
+    (a, a3, a5), (b, b3, b5) = _tie_sums(counts, "x"), _tie_sums(counts, "y")
+    pairs = n * (n - 1)
+    if n < 2 or a == pairs or b == pairs:
+        return {"statistic": None, "n": int(n), "z": None, "p": None}
+    s = net_concordance(counts)
+    tau = s / math.sqrt((pairs - a) / 2 * ((pairs - b) / 2))
+    v1 = a * b / (2 * pairs)
+    v2 = a3 * b3 / (9 * pairs * (n - 2)) if n > 2 else 0
+    z = s / math.sqrt((pairs * (2 * n + 5) - a5 - b5) / 18 + v1 + v2)
     return {"statistic": float(tau), "n": int(n), "z": float(z), "p": dist.normal_tail(float(z))}
 
 
@@ -377,36 +356,59 @@ def ks(df: DataFrame, slot: Slot) -> dict:
     return {"statistic": d, "n": [na, nb], "p": dist.kolmogorov_tail(d * math.sqrt(na * nb / (na + nb)))}
 
 
+@F.pandas_udf(StructType([StructField("m", DoubleType()), StructField("mm", DoubleType())]))
+def _normal_scores(before: pd.Series, count: pd.Series, n: pd.Series) -> pd.DataFrame:
+    """Sums, and sums of squares, of the normal scores of a value's places."""
+    score = np.frompyfunc(NormalDist().inv_cdf, 1, 1)
+    out = []
+    for first, times, total in zip(before, count, n):
+        m = mm = 0.0
+        for low in range(int(first) + 1, int(first) + int(times) + 1, 1 << 20):
+            places = np.arange(low, min(low + (1 << 20), int(first) + int(times) + 1))
+            z = score((places - 0.375) / (total + 0.25)).astype(float)
+            m, mm = m + z.sum(), mm + z @ z
+        out.append((m, mm))
+    return pd.DataFrame(out, columns=["m", "mm"])
+
+
 @TESTS.add("TEST_SHAPIRO_WILK")
 def shapiro_francia(df: DataFrame, slot: Slot) -> dict:
-    """W', the squared correlation of the ordered values with normal scores (5 to 5000 values)."""
+    """W', the squared correlation of the ordered values with normal scores, from counts by value. From 5 values on; beyond
+    5000, for which the approximation of p was not made, ``advisory`` says so."""
     x = number(df, slot)
-    values = np.sort(np.array([r[0] for r in df.where(x.isNotNull()).select(x).limit(5001).collect()]))
-    n = len(values)
-    if not 5 <= n <= 5000:
-        raise RequestError("TEST_SHAPIRO_WILK: from 5 to 5000 values are needed")
-    m = np.array([dist.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    w = float(np.corrcoef(values, m)[0, 1] ** 2)
+    rows = df.where(x.isNotNull()).select((x + 0.0).alias("x"))
+    n, mean, spread = rows.agg(F.count("*"), F.avg("x"), F.var_pop("x")).first()
+    if n < 5:
+        raise RequestError("TEST_SHAPIRO_WILK: 5 values at least are needed")
+    if not spread:
+        return {"statistic": None, "n": n, "p": None, "advisory": n > 5000}
+    counts = rows.groupBy("x").agg(F.count("*").alias("c"))
+    placed = running_totals(counts, "x", {"before": F.col("c")}, like=rows)
+    scored = placed.select("x", _normal_scores("before", "c", F.lit(n)).alias("s"))
+    both, squares = scored.agg(F.sum((F.col("x") - mean) * F.col("s.m")), F.sum("s.mm")).first()
+    w = min(1.0, both * both / (squares * n * spread))
     u = math.log(n)
     v = math.log(u)
-    z = (math.log(1 - w) - (-1.2725 + 1.0521 * (v - u))) / (1.0308 - 0.26758 * (v + 2 / u))
-    return {"statistic": w, "n": n, "p": 1 - dist.normal_cdf(z)}
+    z = (math.log(max(1 - w, 1e-300)) - (-1.2725 + 1.0521 * (v - u))) / (1.0308 - 0.26758 * (v + 2 / u))
+    return {"statistic": w, "n": n, "p": 1 - dist.normal_cdf(z), "advisory": n > 5000}
 
 
 @TESTS.add("TEST_TREND")
 def trend(df: DataFrame, slot: Slot) -> dict:
-    """Mann-Kendall over the values in order of ``order_by``; for result rows, which are few."""
-    x = number(df, slot)
-    rows = df.where(x.isNotNull()).orderBy(slot.need("order_by")).select(x).limit(20_001).collect()
-    v = np.array([r[0] for r in rows])
-    n = len(v)
-    if not 3 <= n <= 20_000:
-        raise RequestError("TEST_TREND: from 3 to 20000 rows are needed")
-    s = float(sum(np.sign(v[i + 1 :] - v[i]).sum() for i in range(n - 1)))
-    t = np.unique(v, return_counts=True)[1].astype(float)
-    var = (n * (n - 1) * (2 * n + 5) - (t * (t - 1) * (2 * t + 5)).sum()) / 18
-    z = (s - math.copysign(1, s)) / math.sqrt(var) if s and var else 0.0
-    return {"statistic": s, "z": z, "n": n, "p": dist.normal_tail(z)}
+    """Mann-Kendall over the values in order of ``order_by``, from three rows on and at any size; rows that tie on the
+    order are no pair."""
+    x, by = number(df, slot), slot.need("order_by")
+    of, t = kind(df, by), F.col(f"`{by}`")
+    t = F.unix_date(t) if isinstance(of, DateType) else F.unix_micros(t.cast("timestamp")) if isinstance(of, (TimestampType, TimestampNTZType)) else t
+    rows = df.where(x.isNotNull() & t.isNotNull()).select(t.cast("double").alias("x"), (x + 0.0).alias("y"))
+    counts = rows.groupBy("x", "y").agg(F.count("*").alias("n"))
+    n = float(counts.agg(F.sum("n")).first()[0] or 0)
+    if n < 3:
+        raise RequestError("TEST_TREND: three rows at least are needed")
+    s = net_concordance(counts)
+    var = (n * (n - 1) * (2 * n + 5) - _tie_sums(counts, "y")[2]) / 18
+    z = (s - math.copysign(1, s)) / math.sqrt(var) if s and var > 0 else 0.0
+    return {"statistic": s, "z": z, "n": int(n), "p": dist.normal_tail(z)}
 
 
 @TESTS.add("TEST_TUKEY_HSD")

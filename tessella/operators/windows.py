@@ -118,7 +118,7 @@ def lift(df: DataFrame, slot: Slot) -> Column:
 
 @WINDOWS.add("WIN_FORMULA")
 def formula(df: DataFrame, slot: Slot) -> Column:
-    return expression(df, slot.need("expression"), slot.get("constants"), slot.get("lookups")).cast("double")
+    return expression(df, slot.need("expression"), slot.get("constants"), slot.get("lookups"), None, slot.get("models")).cast("double")
 
 
 def kernel(slot: Slot) -> list[float]:

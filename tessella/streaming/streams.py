@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tessella.operators.aggregates import AGGREGATES
+from tessella.operators.aggregates import AGGREGATES, windowed_quantile, with_levels
 from tessella.operators.slots import Slot
 from tessella.plans.request import process
 
@@ -49,5 +49,7 @@ def event_windows(events: DataFrame, time: str, width: str, aggregations: list[M
         stamped = stamped.withWatermark(time, late)
     by = F.session_window(time, width) if session else F.window(time, width, slide or width)
     slots = [Slot.of(a) for a in aggregations]
-    out = stamped.groupBy(by.alias("w"), *keys).agg(*(AGGREGATES.find(s.type)(stamped, s).alias(s.name()) for s in slots))
+    stamped = with_levels(stamped, slots)
+    made = {"AGG_MEDIAN": windowed_quantile, "AGG_PERCENTILE": windowed_quantile}
+    out = stamped.groupBy(by.alias("w"), *keys).agg(*((made.get(s.type) or AGGREGATES.find(s.type))(stamped, s).alias(s.name()) for s in slots))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *keys, *(f"`{s.name()}`" for s in slots))

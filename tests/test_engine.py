@@ -295,3 +295,78 @@ def test_generated_tables(spark):
     assert abs(m - 5) < 0.2 and abs(s - 2) < 0.15 and abs(n - 3600) < 100 and abs(share - 0.75) < 0.04 and abs(lam - 3) < 0.15
     assert df.where(~F.col("r").rlike("^[0-9]{3}-(ab|c)$")).count() == 0
     assert generate(spark, 100, profile(df, ["x", "c"]), 1).count() == 100
+
+
+def test_exact_quantiles_beyond_the_sketch(spark, monkeypatch):
+    """Intervals from the sketch hold the places, with ties, null keys, and several shares at once."""
+    from tessella.functions import quantiles
+
+    monkeypatch.setattr(quantiles, "SMALL", 0)
+    rng = np.random.default_rng(4)
+    rows = [(k, float(v)) for k, n in (("a", 60_000), (None, 3_000), ("b", 1)) for v in np.round(rng.lognormal(0, 2, n), 2)]
+    df = spark.createDataFrame([*rows, ("c", None)], "g string, v double")
+    wanted = {"lo": 0.0, "q": 0.25, "m": 0.5, "p": 0.999, "hi": 1.0}
+    got = {r["g"]: r for r in quantiles.exact_quantiles(df.where("g = 'a'"), ["g"], F.col("v"), wanted).collect()}
+    values = [v for k, v in rows if k == "a"]
+    assert all(math.isclose(got["a"][n], np.quantile(values, p), rel_tol=1e-12) for n, p in wanted.items())
+    monkeypatch.setattr(quantiles, "SMALL", 50_000)
+    got = {r["g"]: r for r in quantiles.exact_quantiles(df, ["g"], F.col("v"), wanted).collect()}
+    assert set(got) == {"a", None, "b"}
+    for key in got:
+        values = [v for k, v in rows if k == key]
+        assert all(math.isclose(got[key][n], np.quantile(values, p), rel_tol=1e-12) for n, p in wanted.items())
+    whole = quantiles.exact_quantiles(df, [], F.col("v"), {"m": 0.5}).first()["m"]
+    assert math.isclose(whole, np.median([v for _, v in rows])) and quantiles.exact_quantiles(df.where("false"), [], F.col("v"), {"m": 0.5}).count() == 0
+
+
+def test_concordance_by_ranges(spark, monkeypatch):
+    from tessella.functions import concordance
+
+    monkeypatch.setattr(concordance, "ROWS", 20)
+    rng = np.random.default_rng(5)
+    for x, y in ((rng.integers(0, 30, 400), rng.integers(0, 30, 400)), (np.where(rng.random(300) < 0.4, 7, rng.integers(0, 90, 300)), rng.random(300)), (np.ones(50), rng.random(50)), (np.arange(3), np.arange(3))):
+        df = spark.createDataFrame([(float(a), float(b), int(n)) for a, b, n in zip(x, y, rng.integers(1, 4, len(x)))], "x double, y double, n long")
+        rows = [tuple(r) for r in df.collect()]
+        want = sum(n * m * np.sign(a - c) * np.sign(b - d) for i, (a, b, n) in enumerate(rows) for c, d, m in rows[:i])
+        assert concordance.net_concordance(df) == want
+
+
+def test_tests_without_caps(spark):
+    """Beyond 5,000 values and 20,000 rows; the figures are those of the plain formulas."""
+    rng = np.random.default_rng(6)
+    v = np.round(rng.normal(size=21_000), 3)
+    df = spark.createDataFrame([(int(i), float(x)) for i, x in enumerate(v)], "i long, v double")
+    got = TESTS.find("TEST_SHAPIRO_WILK")(df, Slot("TEST_SHAPIRO_WILK", "v"))
+    m = np.array([dist.normal_quantile((i - 0.375) / (len(v) + 0.25)) for i in range(1, len(v) + 1)])
+    assert math.isclose(got["statistic"], np.corrcoef(np.sort(v), m)[0, 1] ** 2, rel_tol=1e-9) and got["advisory"]
+    trend = TESTS.find("TEST_TREND")(df, Slot("TEST_TREND", "v", None, {"order_by": "i"}))
+    assert trend["statistic"] == sum(np.sign(v[i + 1 :] - v[i]).sum() for i in range(len(v) - 1)) and trend["n"] == len(v)
+
+
+def test_ordinal_levels_are_never_dropped(spark):
+    df = spark.createDataFrame([(str(i % 60), float(i)) for i in range(300)], "y string, x double")
+    with pytest.raises(RequestError, match="more than 50 levels"):
+        REGRESSIONS.find("REG_ORDINAL")(df, Slot("REG_ORDINAL", None, None, {"target": "y", "predictors": ["x"]}))
+    with pytest.raises(RequestError, match="aren't listed"):
+        REGRESSIONS.find("REG_ORDINAL")(df.where("y < '3'"), Slot("REG_ORDINAL", None, None, {"target": "y", "predictors": ["x"], "levels": ["0", "1"]}))
+
+
+def test_chi_square_tail_as_a_column(spark):
+    from tessella.operators.attributes import chisq_tail_column
+
+    x = spark.createDataFrame([(v,) for v in (0.0, 0.3, 2.0, 9.5, 60.0)], "x double")
+    for k in range(1, 9):
+        for r in x.select("x", chisq_tail_column(F.col("x"), k).alias("p")).collect():
+            assert math.isclose(r["p"], dist.chisq_tail(r["x"], k), rel_tol=1e-9, abs_tol=1e-12)
+
+
+def test_no_value_buffers_in_plans(spark):
+    """Medians, percentiles, areas under curves and temporal splits neither buffer a group's values nor order a whole key."""
+    df = spark.range(1000).selectExpr("id", "cast(id % 3 as string) as g", "id * 1.5 as v", "id % 2 as y")
+    requests = [{"groups": [{"type": "GROUP_CATEGORY", "field": "g"}], "aggregations": [{"type": t, "field": "v", "label": "m", "params": p}]} for t, p in (("AGG_MEDIAN", {}), ("AGG_PERCENTILE", {"percentile": 90}), ("AGG_AUC", {"outcome": "y"}))]
+    requests.append({"features": [{"type": "FEAT_TRAIN_TEST_SPLIT", "label": "p", "params": {"mode": "temporal", "order_by": "v"}}]})
+    for request in requests:
+        plan = process(df, request).rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan.lower()
+        for line in plan.splitlines():
+            assert "Window [" not in line or "_range" in line or "_v" in line, line
