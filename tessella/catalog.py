@@ -700,3 +700,5 @@ ORACLE_SQL["synth_monotonic_from"] = "SELECT 10 + 2 * i AS v FROM range(1000) r(
 ORACLE_SQL["synth_constant"] = "SELECT 5 AS v FROM range(1000)"
 add("event_windows", lambda spark, d: rounded(event_windows(table(spark, d, "events"), "ts", "1 day", [{"type": "AGG_COUNT", "field": "value", "label": "n"}, {"type": "AGG_SUM", "field": "value", "label": "v"}], ["event_type"]).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", "v"), 2),
     "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(value) AS n, round(coalesce(sum(value), 0), 2) AS v FROM events GROUP BY ALL")
+
+from tessella import catalog_checks, catalog_more  # noqa: E402, F401  register the rest

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -28,7 +29,7 @@ from tessella.operators.windows import apply_windows, ordering
 
 KEYS = {
     "join", "features", "filterers", "attributes", "groups", "aggregations", "windows", "sort", "crosstab", "weight",
-    "weight_kind", "limit", "select", "overlays", "labels", "precision", "params",
+    "weight_kind", "limit", "select", "exclude", "overlays", "labels", "precision", "params",
 }
 
 
@@ -45,10 +46,17 @@ def _slots(request: Mapping, key: str) -> list[Slot]:
 
 
 def _filled(slot: Mapping, request: Mapping) -> Mapping:
-    """Parameters: ``{"$param": name}`` takes a value of the request's ``params``."""
+    """Parameters: ``{"$param": name}`` takes a value of the request's ``params``; ``{{name}}`` in a text its text."""
     values = request.get("params", {})
 
+    def named(m: re.Match) -> str:
+        if m[1] not in values:
+            raise RequestError(f"no parameter {m[1]!r}")
+        return str(values[m[1]])
+
     def fill(x):
+        if isinstance(x, str):
+            return re.sub(r"\{\{\s*(\w+)\s*\}\}", named, x)
         if isinstance(x, Mapping):
             if set(x) == {"$param"}:
                 if x["$param"] not in values:
@@ -127,6 +135,8 @@ def _finish(df: DataFrame, request: Mapping, sort: bool = True) -> DataFrame:
         df = df.withColumn(name, F.coalesce(named, c.cast("string")))
     if (digits := request.get("precision")) is not None:
         df = df.select(*(F.round(F.col(f"`{c}`"), digits).alias(c) if t in ("double", "float") else F.col(f"`{c}`") for c, t in df.dtypes))
+    if request.get("exclude"):
+        df = df.drop(*request["exclude"])
     return df.select(*(f"`{c}`" for c in request["select"])) if request.get("select") else df
 
 
@@ -155,6 +165,72 @@ def explain(request: Mapping) -> list[str]:
     return out
 
 
+#: Operators that need their table twice, or an order over all of it; every other one runs in one pass.
+TWO_PASS = {
+    "ATTR_ZSCORE", "ATTR_TSCORE", "ATTR_NORMALIZED", "FEAT_FREQUENCY_ENCODE", "FEAT_TARGET_ENCODE", "FEAT_ONE_HOT", "AGG_MEDIAN",
+    "AGG_PERCENTILE", "ATTR_MAHALANOBIS", "ATTR_PC_SCORE", "ATTR_FACTOR_SCORE", "ATTR_SEM_SCORE", "GROUP_KMEANS",
+}
+BUFFERED = {"ATTR_PERCENTILE", "GROUP_QUANTILE", "AGG_AUC", "AGG_QUANTILE_WEIGHTED", "ATTR_PREVIOUS_STATE", "FEAT_TRAIN_TEST_SPLIT"}
+#: Bounds that a request is held against before it runs.
+LIMITS = {"keys": 16, "measures": 500, "windows": 100, "members": 500}
+
+
+def predict(df: DataFrame, request: Mapping, tables: Mapping[str, DataFrame] | None = None) -> dict:
+    """What a request would do, from the schema alone: errors, columns with types, advisories, and whether it streams, takes
+    two passes, or orders the whole table (buffered)."""
+    errors = validate(df, request, tables)
+    slots = [s for k in ("features", "filterers", "attributes", "groups", "aggregations", "windows") for s in request.get(k, [])]
+    kinds = {s.get("type") for s in slots}
+    advice = []
+    for s in slots:
+        if "expression" in s.get("params", {}):
+            advice.append(f"{s['type']}: a null operand makes the value null")
+        if s.get("field") in df.columns and df.schema[s["field"]].dataType.simpleString() == "double" and s.get("type", "").startswith("GROUP_CATEGORY"):
+            advice.append(f"{s['type']}: {s['field']} is a double; every distinct value is a group")
+    counts = {"keys": len(request.get("groups", [])), "measures": len(request.get("aggregations", [])), "windows": len(request.get("windows", []))}
+    errors += [f"{n} {k}, at most {LIMITS[k]} are allowed" for k, n in counts.items() if n > LIMITS[k]]
+    whole = bool(kinds & BUFFERED) or bool(request.get("sort")) or bool(request.get("windows") and not request.get("groups"))
+    out = {"errors": errors, "advisories": advice, "passes": "buffered" if whole else "two-pass" if kinds & TWO_PASS or request.get("crosstab", {}).get("normalize", "none") != "none" else "streams"}
+    if not errors:
+        empty = df.sparkSession.createDataFrame([], df.schema)
+        others = {n: t.sparkSession.createDataFrame([], t.schema) for n, t in (tables or {}).items()}
+        out["columns"] = process(empty, request, others).rows.dtypes
+    return out
+
+
+def recommend(df: DataFrame, most_levels: int = 50, most: int = 5) -> list[dict]:
+    """Draft requests for a table: counts and means of its numbers by each of its fields with few levels, by falling
+    number of levels, and monthly totals by each date. Levels are estimated in one pass with sketches of bounded size."""
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and not isinstance(f.dataType, BooleanType)]
+    dates = [f.name for f in df.schema if isinstance(f.dataType, (DateType, TimestampType, TimestampNTZType))]
+    flat = [f.name for f in df.schema if f.dataType.typeName() in ("string", "boolean", "integer", "byte", "short")]
+    if not flat and not dates:
+        return []
+    levels = df.agg(*(F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in flat)).first().asDict() if flat else {}
+    keys = sorted((c for c in flat if 1 < levels[c] <= most_levels), key=lambda c: (-levels[c], c))[:most]
+    measures = [{"type": "AGG_COUNT", "label": "n"}, *({"type": "AGG_AVERAGE", "field": c, "label": f"mean_{c}"} for c in numbers if c not in keys)][: most + 1]
+    out = [{"groups": [{"type": "GROUP_CATEGORY", "field": k}], "aggregations": measures} for k in keys]
+    totals = [{"type": "AGG_COUNT", "label": "n"}, *({"type": "AGG_SUM", "field": c, "label": f"sum_{c}"} for c in numbers if c not in keys)][: most + 1]
+    return out + [{"groups": [{"type": "GROUP_DATE", "field": d, "params": {"component": "month"}}], "aggregations": totals} for d in dates]
+
+
+def resolve_label(labels: DataFrame, query: str, limit: int = 10, code: str = "code", label: str = "label") -> DataFrame:
+    """The labels most like a text: code, label and score from 0 to 1. Same text (case, marks and spaces aside) scores 1, a
+    beginning at least 0.9; else the better of the shared share of three-letter pieces and of the letters that no edit
+    touches. Ties go by label, then code."""
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
+    wanted = " ".join(re.findall(r"[^\W_]+", query.lower()))
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c), F.lit(1))), lambda k: F.substring(F.concat(F.lit(" "), c, F.lit(" ")), k, F.lit(3))))
+    text, query_text = plain(F.col(f"`{label}`")), F.lit(wanted)
+    shared = F.size(F.array_intersect(pieces(text), pieces(query_text)))
+    dice = F.try_divide(2.0 * shared, F.size(pieces(text)) + F.size(pieces(query_text)))
+    edits = 1 - F.try_divide(F.levenshtein(text, query_text).cast("double"), F.greatest(F.char_length(text), F.char_length(query_text)))
+    share = F.try_divide(F.lit(float(len(wanted))), F.char_length(text))
+    score = F.when(text == query_text, 1.0).when(F.startswith(text, query_text), 0.9 + 0.1 * share).otherwise(F.greatest(dice, edits) * 0.9)
+    rows = labels.select(F.col(f"`{code}`").alias("code"), F.col(f"`{label}`").alias("label"), F.round(score, 6).alias("score"))
+    return rows.where("score > 0").orderBy(F.desc("score"), "label", "code").limit(limit)
+
+
 def request_hash(request: Mapping) -> str:
     """A digest that doesn't hang on the order of keys."""
     return hashlib.sha256(json.dumps(request, sort_keys=True, default=str, separators=(",", ":")).encode()).hexdigest()
