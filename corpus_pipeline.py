@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, decontaminate, line_dedup, near_dup, quality_classifier
-from tessella.llm.common import adopt, owning, release, written
+from tessella.llm.common import adopt, owning, reads, release, written
 from tessella.llm.queries import table, tokenizer_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -22,8 +22,11 @@ def _stage(stage: Stage) -> Stage:
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if stage is not STAGES[0][1].__wrapped__:
-            release(_running.__dict__.get("made", []))
+        before = _running.__dict__.get("made", [])
+        if reads(docs, before):  # not stored in between: left for the interpreter's end
+            adopt(before)
+        elif stage is not STAGES[0][1].__wrapped__:
+            release(before)
         with owning(until_exit=True) as made:
             out = stage(spark, docs, sf_dir)
         _running.made = made

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_text, map_arrow
+from tessella.llm.common import as_text, keeps, map_arrow
 
 END = "</w>"
 #: Words and chunks whose encodings a worker keeps in each of two generations (results don't depend on it).
@@ -250,6 +250,7 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+keeps(__name__, _codecs.clear)
 
 
 def codec_of(content: str) -> Codec:

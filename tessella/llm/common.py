@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import tempfile
 import threading
 import uuid
@@ -45,6 +47,37 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+_kept: list[tuple[str, Callable[[], None]]] = []
+_entered: list[str] = [""]
+
+
+def keeps(module: str, clear: Callable[[], None]) -> None:
+    """Registers what a module keeps between the tasks of a worker."""
+    _kept.append((module, clear))
+
+
+def entering(module: str) -> None:
+    """At the start of a task: workers live through many stages, so what other modules have kept goes when the stage
+    changes, and memory that was freed returns to the system."""
+    if _entered[0] != module:
+        _entered[0] = module
+        for owner, clear in _kept:
+            if owner != module:
+                clear()
+        gc.set_threshold(700, 10, 10)
+        gc.collect()
+        leaving()
+
+
+def leaving() -> None:
+    """At the end of a task: memory that was freed returns to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """Runs ``fn`` on each Arrow batch; it returns the output columns by name."""
     small_batches(df.sparkSession)
@@ -52,6 +85,7 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
     kinds = [(field.name, field.type) for field in target]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering(fn.__module__)
         for batch in batches:
             out = fn(batch)
             if out is not None:
@@ -59,6 +93,8 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
                     [out[n] if isinstance(out[n], pa.Array) else pa.array(out[n], kind) for n, kind in kinds],
                     [n for n, _ in kinds],
                 )
+            del batch, out
+        leaving()
 
     return df.mapInArrow(run, schema)
 
@@ -130,6 +166,18 @@ def release(made: list[tuple[SparkSession, str]]) -> None:
             pass
 
 
+def reads(df: DataFrame, made: list[tuple[SparkSession, str]]) -> bool:
+    """Whether a frame's plan scans any of these scratch tables."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    roots = []
+    for k in range(leaves.size()):
+        try:
+            roots.append(leaves.apply(k).relation().location().rootPaths().mkString("\n"))
+        except Exception:  # a leaf that is no table of files
+            continue
+    return any(path.rpartition("/")[2] in root for _, path in made for root in roots)
+
+
 def adopt(made: list[tuple[SparkSession, str]]) -> None:
     """Hands scratch tables to the block around this call, or to the interpreter's end."""
     (_owners.__dict__.get("stack") or [_rest])[-1].extend(made)

@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import alnum_words, map_arrow, owning, row_key, small_batches, written
+from tessella.llm.common import alnum_words, entering, leaving, map_arrow, owning, row_key, small_batches, written
 from tessella.llm.fm_index import FMIndex
 
 WINDOW = 13
@@ -141,6 +141,7 @@ Found = tuple[int, list[tuple[int, int]], list[str]]
 
 def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[list[pa.RecordBatch], Shard, list[int]]]:
     """Batches of a shard, its index and the number of words of each row. A batch is cut where a shard is full."""
+    entering(__name__)
     held: list[pa.RecordBatch] = []
     shard, sizes = Shard(), []
     for batch in batches:
@@ -156,6 +157,8 @@ def _shards(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[list
             held.append(batch.slice(begin))
     if held:
         yield held, shard.build(), sizes
+    del held, shard
+    leaving()
 
 
 def _searched(batches: Iterator[pa.RecordBatch], text: int, phrases: Phrases) -> Iterator[tuple[pa.RecordBatch, list[Found]]]:

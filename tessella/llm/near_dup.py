@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import components, map_arrow, owning, space_words, written
+from tessella.llm.common import components, entering, keeps, map_arrow, owning, space_words, written
 
 SHINGLE = 5
 #: Coordinates of a signature: so many bands of so many rows. At a similarity of 0.75 a pair meets in no band with
@@ -61,6 +61,7 @@ class _Hashes(dict):
 
 
 _hashes = _Hashes()
+keeps(__name__, _hashes.clear)
 
 
 def shingle_hashes(words: list[bytes]) -> np.ndarray:
@@ -166,6 +167,7 @@ def _open_pairs(rows: DataFrame, percent: int) -> DataFrame:
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering(__name__)
         held: list[tuple] = []
         for batch in batches:
             found = []
@@ -332,4 +334,6 @@ def keep_first(docs: DataFrame, percent: int = 75) -> DataFrame:
         order = F.struct("text", *(F.col(n).cast("string") for n in names))
         first = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*names), order).alias("w"))
         docs = first.select("w.*").unionByName(docs.where("doc_id is null"))
-    return docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left").where("doc_id is null or kept_id is not null").select(*names)
+    own = docs.select(F.col("doc_id").alias("id"), F.struct(*names).alias("whole"))  # apart from names that the table has
+    joined = own.join(kept, F.col("id") == F.col("kept_id"), "left").where("id is null or kept_id is not null")
+    return joined.select(*(F.col(f"whole.{n}") for n in names))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import as_text, owning, row_key, small_batches, written
+from tessella.llm.common import as_text, entering, owning, row_key, small_batches, written
 
 ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I
@@ -96,6 +96,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None) -> DataFra
     names = ("blob", "rule_version", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entering(__name__)
         last = None
         for batch in batches:
             rows = []
