@@ -33,7 +33,7 @@ def with_keys(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, float]) -> DataFrame:
-    """One row for each group that has a value: keys and, for each name, the quantile at its share p: the value at place
+    """One row for each group that has a value (without keys always one, null if there is none): keys and, for each name, the quantile at its share p: the value at place
     (n - 1) p of the ordered values, from 0, interpolated between neighbours. Nulls take no part; NaN is the largest value."""
     names = sorted(wanted, key=wanted.get)
     margin = REACH / ACCURACY
