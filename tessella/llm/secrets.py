@@ -76,7 +76,8 @@ def _wanted(versions: DataFrame, rows: DataFrame) -> DataFrame:
     at = F.bitmap_bit_position(bit("row")).cast("int")
     byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     near = versions.withColumn("bucket", F.bitmap_bucket_number(bit("row"))).join(F.broadcast(bits), "bucket").where(F.getbit(byte, F.pmod(at, F.lit(8))) == 1)
-    return near.drop("bucket", "bits").join(rows.hint("merge"), "row", "left_semi").sortWithinPartitions("row")
+    # An inner join (each row stands in ``rows`` once): a semi-join would be pushed below the bits.
+    return near.drop("bucket", "bits").join(rows.distinct().hint("merge"), "row").sortWithinPartitions("row")
 
 
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
